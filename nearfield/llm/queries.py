@@ -41,7 +41,7 @@ OP8_SQL = rf"""
 WITH item AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n,
-    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
   FROM item WHERE len(w) > 0),
 doc AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 place AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win)),
