@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, token_store
+from nearfield.llm import decontaminate, license_scan, secret_scan, token_store
 from nearfield.llm.common import shared_dir, table
 
 
@@ -17,6 +17,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256)
+    return found.select(
+        "doc_id", *[count(k) for k, *_ in secret_scan.BASE_KINDS], base.alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"), "n_live", "n_copied",
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -32,7 +50,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_decontaminate, op10_token_store)}
+    return {f.__name__: f for f in (op1_license_scan, op4_secret_scan, op8_decontaminate, op10_token_store)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -57,5 +75,70 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _op1_sql() -> str:
+    sets = license_scan.template_words(license_scan.TEMPLATES)
+    values = ", ".join(f"({i}, '{label}', {words!r}::VARCHAR[])" for i, (label, words) in enumerate(sets))
+    phrases = license_scan.PHRASES
+    starts = " OR ".join(f"w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p in phrases)
+    names = " ".join(f"WHEN w[i] = '{p.split()[0]}' THEN '{name}'" for p, name in phrases.items())
+    runs = ", ".join(
+        f"list_transform(range(1, len(l) - {n} + 2), lambda i: array_to_string(l[i:i + {n - 1}], ' '))"
+        for n in range(1, license_scan.BLOCK_LINES + 1)
+    )
+    return rf"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+placed AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: {starts}) AS p FROM doc),
+template(t, label, words) AS (VALUES {values}),
+block AS (
+  SELECT doc_id, unnest(flatten([{runs}])) AS b
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[
+
+]+'), lambda x: x <> '') AS l FROM doc)),
+tokens AS (SELECT doc_id, list_distinct({_WORDS.format("b")}) AS s FROM block),
+pair AS (
+  SELECT doc_id, label, len(list_intersect(s, words)) AS n, len(words) AS size
+  FROM tokens, template WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.CONTAINMENT} * len(words), 9))),
+best AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / size) AS c FROM pair GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(p, lambda i: CASE {names} END))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda i: CASE {names} END), coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM placed LEFT JOIN best USING (doc_id)
+"""
+
+
+def _op4_sql() -> str:
+    kinds = secret_scan.BASE_KINDS + secret_scan.MORE_KINDS
+    n_base = len(secret_scan.BASE_KINDS)
+    quoted = lambda x: x.replace("'", "''")
+    spans = " UNION ALL ".join(
+        f"SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, list_sum(list_transform(g[:i], lambda x: length(x))) "
+        f"+ coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS n, v[i] AS value "
+        f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, owner, regexp_extract_all(text, '{quoted(rx)}') AS m, "
+        f"regexp_extract_all(text, '{quoted(rx)}', {group}) AS v, regexp_split_to_array(text, '{quoted(rx)}') AS g "
+        f"FROM doc WHERE regexp_matches(text, '{quoted(secret_scan._HINTS.get(kind, rx))}'))) WHERE length(v[i]) >= {least}"
+        for rank, (kind, rx, group, least) in enumerate(kinds)
+    )
+    return rf"""
+WITH doc AS (SELECT doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
+span AS (SELECT *, kind || ':' || start::BIGINT::VARCHAR || ':' || (start + n)::BIGINT::VARCHAR AS said FROM ({spans})),
+held AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM span GROUP BY 1),
+judged AS (
+  SELECT span.*, owners >= {secret_scan.COPIED_OWNERS} AS copied,
+    len(list_distinct(string_split(value, ''))) >= {secret_scan.DISTINCT_CHARS}
+      AND NOT regexp_matches(value, '{secret_scan.PLACEHOLDER}') AS looks_live
+  FROM span JOIN held USING (value)),
+found AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY start, rank) FILTER (rank < {n_base}) AS base,
+    string_agg(said, ',' ORDER BY start, rank) FILTER (rank < {n_base} OR NOT copied) AS spans,
+    count(*) FILTER (NOT copied AND looks_live) AS n_live, count(*) FILTER (copied) AS n_copied
+  FROM judged GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM doc LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op1_license_scan": _op1_sql(), "op4_secret_scan": _op4_sql(), "op8_decontaminate": OP8_SQL}
