@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +78,12 @@ def n_words(text: Column) -> Column:
     parts = F.split(text, SEPARATORS + "+")
     outer = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(parts) - outer).cast("long")
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some ``most`` bytes of text each."""
+    n = np.array([x or 0 for x in pc.binary_length(batch[column]).to_pylist()])
+    part = np.cumsum(n) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
