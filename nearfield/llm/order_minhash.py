@@ -18,73 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import materialise, partitions_for, slices
+from nearfield.llm.hashing import kmers, mix, odd
 
 K = 5
 TUPLE = 2
 HASHES = 64
+BLANKS = bytes(range(33))
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C15
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _odd(n: int, seed: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=_U) * _U(_BASE) + _U(seed)) | _U(1)
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        ones = np.full(n, _BASE, _U), np.full(n, inverse, _U)
-        _POWERS[:] = [np.cumprod(o) for o in ones]
-    return _POWERS[0], _POWERS[1]
-
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (between blanks and control characters) of all texts, and how many each text has."""
-    raw = b"\n".join([(t or "").encode("utf-8", "replace") for t in texts] + [b""])
-    b = np.frombuffer(raw, np.uint8)
-    sizes = np.array([len((t or "").encode("utf-8", "replace")) for t in texts], np.int64)
-    ends = np.cumsum(sizes + 1)
-    inside = np.concatenate(([False], b > 32, [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    first, last = edges[::2], edges[1::2]
-    up, down = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * up[: len(b)])))
-    hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U) * _U(_BASE))
-    return hashes, np.diff(np.concatenate(([0], np.searchsorted(first, ends))))
-
-
-def kmers(texts: list[str | None], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-mers of all texts in order, and how many each text has.
-
-    A text of fewer than k words, but not none, has one: all its words.
-    """
-    words, n = word_hashes(texts)
-    pad = np.where((n > 0) & (n < k), k - n, 0)
-    if pad.any():
-        at = np.repeat(np.cumsum(n), pad)
-        words = np.insert(words, at, _U(0))
-        n = n + pad
-    total = np.zeros(max(0, len(words) - k + 1), _U)
-    for j, c in enumerate(_odd(k, 7)):
-        total += mix(words[j : j + len(total)] + c) * c
-    total = mix(total)
-    count = np.maximum(n - k + 1, 0)
-    start = np.cumsum(n) - n
-    keep = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return total[keep], count
 
 
 def numbered(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -105,7 +46,7 @@ def numbered(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str | None], k: int = K, size: int = HASHES) -> np.ndarray:
     """One row of ``size`` 16-bit components for each text; a text without words has zeros."""
-    hashes, count = kmers(texts, k)
+    hashes, count = kmers(texts, k, BLANKS)
     out = np.zeros((len(texts), size), ">u2")
     rows = np.flatnonzero(count)
     if not len(rows):
@@ -115,7 +56,7 @@ def fingerprints(texts: list[str | None], k: int = K, size: int = HASHES) -> np.
     single = count[rows] < TUPLE
     place = np.arange(len(own), dtype=_U)
     high, low = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
-    for j, c in enumerate(_odd(size, 11)):
+    for j, c in enumerate(odd(size, 11)):
         key = own * c
         key ^= key >> _U(29)
         key *= c
