@@ -22,7 +22,7 @@ from nearfield.llm.common import partitions_for
 
 END_ID = 1
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -35,6 +35,8 @@ ORC_OPTIONS = {
 # In these texts ids of the parts between white space are not known to be the ids of the whole: Python splits
 # at \x1c-\x1f, the tokenizer does not; special tokens can be followed by anything.
 _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+# A part that is one word of Latin letters, which the tokenizer lower-cases, and at most one mark after it.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]?)")
 
 
 class WordEncoder:
@@ -51,15 +53,42 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 4096):
-            chunk = parts[at : at + 4096]
-            for part, got in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True):
-                self.cache[part] = np.array(got.ids, "<u4").tobytes()
+    def _learn_each(self, parts: list[str]) -> None:
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.cache[part] = np.array(got.ids, "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode parts: plain words as one text, cut after the ids that end a word; what they build from them; others singly."""
+        plain, rest = [], []
+        for part in parts:
+            m = _PLAIN.fullmatch(part)
+            if m:
+                plain.append((part, m[1].lower(), m[2]))
+            else:
+                rest.append(part)
+        words = list({w for _, w, _ in plain} - self.cache.keys())
+        for at in range(0, len(words), 8192):
+            chunk = words[at : at + 8192]
+            texts = [" ".join(chunk[k : k + 512]) for k in range(0, len(chunk), 512)]
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(chunk):
+                self._learn_each(chunk)
+                continue
+            raw, a = ids.tobytes(), 0
+            for word, b in zip(chunk, cuts.tolist(), strict=True):
+                self.cache[word] = raw[a:b]
+                a = b
+        self._learn_each(rest + [m for m in {m for _, _, m in plain if m} if m not in self.cache])
+        for part, word, mark in plain:
+            self.cache[part] = self.cache[word] + (self.cache[mark] if mark else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and _WHOLE.search(t) else (t or "").split() for t in texts]
@@ -73,7 +102,7 @@ class WordEncoder:
             if len(known) + len(new) > self.cache_words:
                 known.clear()
                 new = {p for parts in split if parts for p in parts}
-            self._learn(list(new))
+            self._learn(new)
         get = known.__getitem__
         return [self.whole(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
 
