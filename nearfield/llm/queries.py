@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, html_extract, language_id, license_scan, minhash_dedup, order_minhash, secret_scan, token_store
+from nearfield.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, minhash_dedup, order_minhash, secret_scan, token_store
 from nearfield.llm.common import shared_dir, table
 
 
@@ -55,6 +55,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -70,7 +75,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_html_extract, op3_language_id, op4_secret_scan, op5_order_minhash, op6_minhash_dedup, op8_decontaminate, op10_token_store)}
+    return {f.__name__: f for f in (op1_license_scan, op2_html_extract, op3_language_id, op4_secret_scan, op5_order_minhash, op6_minhash_dedup, op7_line_dedup, op8_decontaminate, op10_token_store)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -95,6 +100,31 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP7_SQL = rf"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+line AS (
+  SELECT doc_id, i - 1 AS i, l[i] AS line, len(regexp_extract_all(l[i], '\S+')) AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw) WHERE regexp_matches(l[i], '\S')),
+put AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM line),
+span AS (
+  SELECT a.doc_id, a.j AS lo, min(b.j) AS hi FROM put a JOIN put b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + {line_dedup.MIN_WORDS}
+    AND b.s - a.s + a.w >= {line_dedup.MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.j) AS lo, b.j AS hi FROM put a JOIN put b ON a.doc_id = b.doc_id AND b.j BETWEEN a.j AND a.j + {line_dedup.MIN_WORDS}
+    AND b.s - a.s + a.w >= {line_dedup.MIN_WORDS} GROUP BY b.doc_id, b.j),
+run AS (
+  SELECT span.doc_id, lo, hi, string_agg(line, chr(10) ORDER BY j) AS said, min(i) AS i
+  FROM span JOIN put ON put.doc_id = span.doc_id AND j BETWEEN lo AND hi GROUP BY ALL),
+later AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT put.doc_id, put.i FROM later JOIN put ON put.doc_id = later.doc_id AND j BETWEEN lo AND hi),
+cut AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY 1)
+SELECT doc_id, CASE WHEN g IS NULL THEN text
+    ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda k: NOT list_contains(g, k - 1)), lambda k: l[k]), chr(10)) END AS text,
+  coalesce(len(l), 0) AS n_lines, coalesce(len(g), 0) AS n_removed
+FROM raw LEFT JOIN cut USING (doc_id)
+"""
+
+
 def _op1_sql() -> str:
     sets = license_scan.template_words(license_scan.TEMPLATES)
     values = ", ".join(f"({i}, '{label}', {words!r}::VARCHAR[])" for i, (label, words) in enumerate(sets))
@@ -161,4 +191,4 @@ FROM doc LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op4_secret_scan": _op4_sql(), "op8_decontaminate": OP8_SQL}
+    return {"op1_license_scan": _op1_sql(), "op4_secret_scan": _op4_sql(), "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL}
