@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, minhash_dedup, order_minhash, secret_scan, token_store
+from nearfield.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, minhash_dedup, order_minhash, secret_scan, sentencepiece_sampling, token_store
 from nearfield.llm.common import shared_dir, table
 
 
@@ -69,13 +69,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_sampling.sample_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id", F.size("ids").alias("n_samples"), F.transform("ids", F.size).alias("n_ids"),
+        F.transform("ids", lambda x: F.xxhash64(x)).alias("ids_xxh64"), "log_prob", "gumbel", "inclusion", "decoded",
+    )
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_tokens(table(spark, sf_dir, "documents"), shared_dir(spark), tokenizer_path("word_bpe_49k.json"))
     return token_store.token_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_html_extract, op3_language_id, op4_secret_scan, op5_order_minhash, op6_minhash_dedup, op7_line_dedup, op8_decontaminate, op10_token_store)}
+    return {f.__name__: f for f in (op1_license_scan, op2_html_extract, op3_language_id, op4_secret_scan, op5_order_minhash, op6_minhash_dedup, op7_line_dedup, op8_decontaminate, op9_sentencepiece_sampling, op10_token_store)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
