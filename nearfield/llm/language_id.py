@@ -25,12 +25,14 @@ from nearfield.llm.common import slices
 BITS = 15
 ORDERS = (3, 4)
 DIM = 16
-EPOCHS = 6
+EPOCHS = 10
 RATE = 1.0
 #: The model is fitted on at most so many labelled rows in all, dealt evenly to the languages (20 each at least).
 TRAIN_ROWS = 3000
 #: Of calibration rows, so large a share may lie under the thresholds.
 REJECT_SHARE = 0.001
+#: No text is rejected whose best language has more than so many times the chance of a guess.
+DOUBT = 1.25
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -124,6 +126,8 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
         idx, count = np.unique(h, return_counts=True)
         counts[idx] += count
         features.append((idx, count / count.sum(), langs.index(lang)))
+    of = np.bincount([y for *_, y in features], minlength=n)
+    weight_of = np.clip(len(features) / n / np.maximum(of, 1), 0.25, 4.0)  # languages count alike, whatever their share
     steps, at = EPOCHS * len(features), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(features)):
@@ -132,6 +136,7 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
             hidden = weight @ emb[idx]
             g = softmax((hidden @ out + bias)[None])[0]
             g[y] -= 1
+            g *= weight_of[y]
             back = out @ g
             out -= rate * np.outer(hidden, g)
             bias -= 0.1 * rate * g
@@ -161,13 +166,18 @@ def calibrate(model: LanguageModel, rows: list[tuple[str, str]]) -> LanguageMode
         return model
     logits, seen = model.logits([t for t, _ in rows])
     y = np.array([model.langs.index(lang) for _, lang in rows])
-    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
+    doubt = 1 / (len(y) + 2)  # as if one more row had any language, so that no errors here don't mean certainty
+
+    def loss(t: float) -> float:
+        logp = np.log(softmax(logits / t) + 1e-12)
+        return float(-((1 - doubt) * logp[np.arange(len(y)), y] + doubt * logp.mean(1)).mean())
+
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == y
     score = p.max(1)[right]
     # Rows like those it was trained on are sure; only what is less sure than nearly all of them, and doubtful, is rejected.
-    model.least_score = float(min(0.5, np.quantile(score, REJECT_SHARE))) if len(score) else 0.0
+    model.least_score = float(min(DOUBT / len(model.langs), np.quantile(score, REJECT_SHARE))) if len(score) else 0.0
     model.least_seen = float(0.8 * np.quantile(seen, REJECT_SHARE))
     return model
 
