@@ -189,12 +189,17 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on at most ``rows`` labelled rows that are not held out, picked by a hash of their ids."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    n = usable.select("lang").distinct().count()
-    if not n:
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    usable = labelled.where(F.col("text").rlike(r"\p{L}"))
+    if not counts:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0), np.zeros(1))
+    n = len(counts)
     each = max(20, rows // n)
-    ids = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    # Ids are thinned by their hash to a few times what is wanted before they are ranked, so no task gets many.
+    share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, 4 * each / c))])
+    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    ids = ids.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picked = ids.withColumn("r", rank).where(F.col("r") <= each).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))
     # At most ``each`` ids a language, so the broadcast is bounded.
