@@ -28,7 +28,7 @@ DIM = 16
 EPOCHS = 10
 RATE = 1.0
 #: The model is fitted on at most so many labelled rows in all, dealt evenly to the languages (20 each at least).
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 #: Of calibration rows, so large a share may lie under the thresholds.
 REJECT_SHARE = 0.001
 #: No text is rejected whose best language has more than so many times the chance of a guess.
@@ -125,7 +125,7 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
         h = np.concatenate([h[a:b] for a, b in zip(lows[:, 0], highs[:, 0], strict=True)])
         idx, count = np.unique(h, return_counts=True)
         counts[idx] += count
-        features.append((idx, count / count.sum(), langs.index(lang)))
+        features.append((idx.astype(np.int32), (count / count.sum()).astype(np.float32), langs.index(lang)))
     of = np.bincount([y for *_, y in features], minlength=n)
     weight_of = np.clip(len(features) / n / np.maximum(of, 1), 0.25, 4.0)  # languages count alike, whatever their share
     steps, at = EPOCHS * len(features), 0
