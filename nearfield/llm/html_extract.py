@@ -26,6 +26,8 @@ from nearfield.llm.common import slices
 
 #: At most so many pages of the table, picked by a hash of their ids, are read as labelled pages.
 TRAIN_PAGES = 300
+#: No block costs more, so that a long advert does not end the article that goes on after it.
+BLOCK_LOSS = 6.0
 
 # Elements by what they do to text, and names that parts of pages carry.
 HIDDEN = frozenset("script style noscript template iframe object svg math head title select option textarea canvas audio video datalist".split())
@@ -45,7 +47,8 @@ NAMES = re.compile(
     r"respond|share|sharing|social|related|recommend\w*|popup|modal|overlay|widget|pagination|pager|login|signup|search|toolbar|skip-?link|legal|copyright|byline-?ad)(?:$|[\s_-])"
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+# Every part stops at the next "<" or takes all it can for good, so that no page takes more than linear time.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:"[^"<]*+"|'[^'<]*+'|[^>"'<])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN_ATTR = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
@@ -88,6 +91,7 @@ def parse(page: str) -> list[Block]:
 
     at = 0
     end_of = {}
+    page = page[: page.rfind(">") + 1] + re.sub(r"<[a-zA-Z/!?].*", "", page[page.rfind(">") + 1 :], flags=re.S)  # a tag that is cut off
     while True:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -115,7 +119,8 @@ def parse(page: str) -> list[Block]:
             hidden.clear()  # a head that was never closed
         if hidden:
             continue
-        tags.append(name)
+        if name in BLOCKS or current is None:
+            tags.append(name)
         if name == "a":
             anchor = 0 if closing else 1
         elif name == "br":
@@ -180,7 +185,7 @@ def count(pages: list[list[tuple[Block, bool]]]) -> Weights:
             (tin if main else tout).update(b.tags)
     odds = lambda a, b: max(-4.0, min(2.0, math.log((a + 1) / (b + 1))))
     words = {k: odds(inside[k], outside[k]) for k in {*inside, *outside}}
-    return Weights(words, {t: min(-0.05, odds(tin[t], tout[t]) - 1.0) for t in {*tin, *tout}})
+    return Weights(words, {t: max(-1.5, min(-0.05, odds(tin[t], tout[t]) - 1.0)) for t in {*tin, *tout}})
 
 
 def fixed_pages() -> list[list[tuple[Block, bool]]]:
@@ -216,7 +221,7 @@ def best_region(blocks: list[Block], weights: Weights) -> tuple[int, int]:
     best, found, total, start = 0.0, (0, 0), 0.0, 0
     for i, b in enumerate(blocks):
         tags = sum(weights.tags.get(t, weights.other_tag) for t in b.tags)
-        words = weights.word(b) * len(b.text.split())
+        words = max(-BLOCK_LOSS, weights.word(b) * len(b.text.split()))
         total += tags
         if total <= 0:
             total, start = 0.0, i

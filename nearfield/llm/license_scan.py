@@ -33,24 +33,25 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening words of public licence notices, by SPDX identifier.
+# Opening words of public licence notices, by SPDX identifier, with the word without which a
+# notice is that of a sister licence.
 TEMPLATES = [
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License version 3"),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License version 3"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ""),
+    ("LGPL-3.0", "licensed under the GNU Lesser General Public License version 3", "lesser"),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License version 3", "affero"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Licensed under the MIT License.", "mit"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ""),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "nc"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "sa"),
+    ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ""),
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,12 +60,12 @@ PHRASE_PATTERN = (
 )
 
 
-def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """(label, distinct words) of each template."""
+def template_words(templates: list[tuple[str, str, str]]) -> list[tuple[str, list[str], str]]:
+    """(label, distinct words, word that a match must have) of each template."""
     found = []
-    for label, text in templates:
+    for label, text, must in templates:
         words = re.findall(WORD + "+", text.translate(str.maketrans(_UPPER, _LOWER)))
-        found.append((label, list(dict.fromkeys(words))))
+        found.append((label, list(dict.fromkeys(words)), must))
     return found
 
 
@@ -105,20 +106,20 @@ def _blocks(text: Column, lines: int) -> Column:
 
 
 def match_templates(
-    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
+    docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
 ) -> DataFrame:
     """doc_id, text_hash, block, label, template (number) and containment of all pairs at the threshold."""
     spark = docs.sparkSession
     sets = template_words(templates)
-    counts = word_counts(docs, sorted({w for _, words in sets for w in words}))
+    counts = word_counts(docs, sorted({w for _, words, _ in sets for w in words}))
     order = sorted(counts, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
-    for number, (label, words) in enumerate(sets):
+    for number, (label, words, must) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
         need = max(1, math.ceil(round(containment * len(words), 9)))
-        prefixes += [(w, i, number, label, words, len(words), need) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "token string, i int, template int, label string, words array<string>, size int, need int")
+        prefixes += [(w, i, number, label, words, must, len(words), need) for i, w in enumerate(words[: len(words) - need + 1])]
+    prefix = spark.createDataFrame(prefixes, "token string, i int, template int, label string, words array<string>, must string, size int, need int")
 
     rare = "(?i)(?<!%s)(?:%s)(?!%s)" % (WORD, "|".join(sorted({re.escape(p[0]) for p in prefixes})), WORD)
     candidates = docs.where(F.col("text").rlike(rare)).select("doc_id", "text_hash", F.explode(_blocks(F.col("text"), block_lines)).alias("block"))
@@ -133,11 +134,11 @@ def match_templates(
         & (1 + F.least(F.col("size") - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need"))  # position
     )
     shared = F.size(F.array_intersect("tokens", "words"))
-    return pairs.where(shared >= F.col("need")).select("doc_id", "text_hash", "block", "label", "template", (shared / F.col("size")).alias("containment"))
+    return pairs.where((shared >= F.col("need")) & ((F.col("must") == "") | F.array_contains("tokens", F.col("must")))).select("doc_id", "text_hash", "block", "label", "template", (shared / F.col("size")).alias("containment"))
 
 
 def scan_licenses(
-    docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
+    docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
 ) -> DataFrame:
     """Phrases and template matches of each row.
 

@@ -135,7 +135,7 @@ FROM raw LEFT JOIN cut USING (doc_id)
 
 def _op1_sql() -> str:
     sets = license_scan.template_words(license_scan.TEMPLATES)
-    values = ", ".join(f"({i}, '{label}', {words!r}::VARCHAR[])" for i, (label, words) in enumerate(sets))
+    values = ", ".join(f"({i}, '{label}', {words!r}::VARCHAR[], '{must}')" for i, (label, words, must) in enumerate(sets))
     phrases = license_scan.PHRASES
     starts = " OR ".join(f"w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p in phrases)
     names = " ".join(f"WHEN w[i] = '{p.split()[0]}' THEN '{name}'" for p, name in phrases.items())
@@ -146,7 +146,7 @@ def _op1_sql() -> str:
     return rf"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
 placed AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: {starts}) AS p FROM doc),
-template(t, label, words) AS (VALUES {values}),
+template(t, label, words, must) AS (VALUES {values}),
 block AS (
   SELECT doc_id, unnest(flatten([{runs}])) AS b
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[
@@ -155,7 +155,7 @@ block AS (
 tokens AS (SELECT doc_id, list_distinct({_WORDS.format("b")}) AS s FROM block),
 pair AS (
   SELECT doc_id, label, len(list_intersect(s, words)) AS n, len(words) AS size
-  FROM tokens, template WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.CONTAINMENT} * len(words), 9))),
+  FROM tokens, template WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.CONTAINMENT} * len(words), 9)) AND (must = '' OR list_contains(s, must))),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / size) AS c FROM pair GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda i: CASE {names} END))), ',') AS base_labels,
