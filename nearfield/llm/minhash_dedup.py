@@ -2,9 +2,10 @@
 
 1. Texts of equal shingle sets form a class; only its least doc_id, the representative, goes on.
 2. Signatures are cut into bands; representatives that agree in a band share a bucket.
-3. Each bucket has a pivot, picked by a hash of bucket and document, and each member is compared with the
-   pivots of its buckets. A large group of near copies thus costs each member a few pairs, never all pairs,
-   and the different pivots of its buckets tie the group together.
+3. Each bucket has a hub, its member that shares the most buckets with others, and a pivot, picked by a hash of
+   bucket and document; each member is compared with the hubs and pivots of its buckets. A large group of near
+   copies thus costs each member a few pairs, never all pairs, and the text that they are copies of, or the
+   different pivots, tie the group together.
 4. A pair is compared batch by batch of its signatures and dropped once the posterior probability of reaching
    the threshold is under ``MISS``. What survives is confirmed on the full shingle sets.
 5. Connected components follow from the confirmed links. In buckets that still hold several components, the
@@ -33,6 +34,8 @@ BATCH = 32
 MISS = 1e-6
 #: Ids that may be broadcast to select rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: In buckets of more members the bound on shared shingles is worked out before pairs are made.
+LARGE = 24
 # The bytes between words.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -229,8 +232,12 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     order = F.struct(F.xxhash64("bucket", "rep").alias("o"), F.col("rep"))
     buckets = materialise(members.groupBy("bucket").agg(F.min(order)["rep"].alias("pivot"), F.count("*").alias("n")).where("n > 1"), paths)
     shared = materialise(members.join(buckets, "bucket"), paths)
+    company = shared.groupBy("rep").agg(F.sum("n").alias("company"))
+    hubs = shared.join(company, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
+    shared = materialise(shared.join(hubs, "bucket"), paths)
 
-    pairs = shared.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    met = shared.select("rep", F.explode(F.array("pivot", "hub")).alias("other")).where("rep <> other")
+    pairs = met.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     alike = materialise(_survivors(pairs, reps, percent), paths)
     # Most links are found by confirming each document's likeliest pair; only ends in different components go on.
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
@@ -238,23 +245,66 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     rest = _labelled(alike, labels).where("ca <> cb").join(best, ["a", "b"], "left_anti")
     labels = _linked(rest, docs, labels, size, percent, paths)
 
-    # Buckets that still hold several components: pairs across them that no pivot was part of.
-    if shared.where("n > 2").limit(1).count():
-        where = shared.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        sizes = where.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-        top = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        open_ = materialise(where.where("rep <> pivot").join(top, "bucket").select("bucket", "rep", "comp", "main"), paths)
-        minor = open_.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-        across = minor.join(open_, "bucket").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("rep"))))
-        across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-        across = materialise(_survivors(across.join(alike, ["a", "b"], "left_anti"), reps, percent), paths)
-        labels = _linked(_labelled(across, labels), docs, labels, size, percent, paths)
+    labels = _across(shared, alike, reps, docs, labels, size, percent, paths)
 
     named = reps.select("ka", "kb", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "ka", "kb").join(named, ["ka", "kb"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _across(shared: DataFrame, alike: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
+    """Labels after the pairs across components that share a bucket, but were not compared yet, are verified.
+
+    Of a bucket's components all but the largest are paired with the rest of the bucket. In large buckets a
+    bound on the shared shingles comes first: those that a document has to itself are not shared, so it shares
+    at most the others, which leaves far copies of a text without a partner, and without pairs.
+    """
+    if not shared.where("n > 2").limit(1).count():
+        return labels
+    where = shared.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    sizes = where.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    # Pivot and hub have met all others.
+    left = materialise(where.where("rep <> pivot and rep <> hub").join(top, "bucket").select("bucket", "rep", "comp", "main", "n"), paths)
+    other = (F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("rep")))
+
+    few = left.where(F.col("n") <= LARGE)
+    minor = few.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"))
+    pairs = minor.join(few, "bucket").where(other).select("x", "rep")
+
+    many = left.where(F.col("n") > LARGE)
+    if many.limit(1).count():
+        known = materialise(_shareable(many.select(F.col("rep").alias("doc_id")).distinct(), docs, size), paths)
+        known = known.select(F.col("doc_id").alias("rep"), "size", "common")
+        many = materialise(many.join(known, "rep"), paths)
+        low = many.groupBy("bucket").agg(F.min("size").alias("low"))
+        minor = many.where("comp <> main").join(low, "bucket").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("low")))
+        minor = minor.select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("kx"))
+        reach = (100 + percent) * F.least("kx", "common") >= percent * (F.col("sx") + F.col("size"))
+        pairs = pairs.union(minor.join(many, "bucket").where(other & reach).select("x", "rep"))
+    pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    found = materialise(_survivors(pairs.join(alike, ["a", "b"], "left_anti"), reps, percent), paths)
+    return _linked(_labelled(found, labels), docs, labels, size, percent, paths)
+
+
+def _shareable(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, size (shingles) and common (those that another document among ``ids`` has too)."""
+    ids = materialise(ids)
+    texts = select_rows(docs, ids, "left_semi", ids.count()).dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes, count, first = shingle_sets(part["text"].to_pylist(), size)
+                owner = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), count)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(hashes[first].view(np.int64))], names=["doc_id", "s"])
+
+    each = materialise(texts.mapInArrow(run, "doc_id long, s long"))
+    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    total = each.groupBy("doc_id").agg(F.count("*").alias("size"))
+    return total.join(alone, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, labels: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """Labels after the pairs (a, b, ca, cb) that are confirmed have joined their components."""
     pairs = materialise(pairs.select("a", "b", "ca", "cb"), paths)
