@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def lru_hits(requests: DataFrame, capacity: int) -> DataFrame:
+class Lru:
+    """Keys by last use; adding beyond the capacity drops the one used longest ago."""
+
+    def __init__(self, capacity: int, keys: list[str] | None = None):
+        self.capacity, self.keys = capacity, OrderedDict.fromkeys(keys or [])
+
+    def ask(self, key: str) -> bool:
+        hit = key in self.keys
+        if hit:
+            self.keys.move_to_end(key)
+        elif self.capacity > 0:
+            self.keys[key] = None
+            if len(self.keys) > self.capacity:
+                self.keys.popitem(last=False)
+        return hit
+
+
+def lru_hits(requests: DataFrame, capacity: int, chunk: int = 1 << 20) -> DataFrame:
     """request_id, key and hit of each request (request_id, key), served in request order by one cache.
 
-    A request hits if its key was asked for before and fewer than ``capacity`` different keys since then. The
-    different keys since then are the keys whose last request before now lies after that one.
+    Requests are served in chunks of ids side by side. Each chunk starts with what the cache then holds: the
+    ``capacity`` keys used last before it. These come from a prefix scan over the chunks' own last uses, in
+    log2(chunks) rounds of merging the lists of a chunk and of the one a power of two before it.
     """
-    by_key = Window.partitionBy("key").orderBy("request_id")
-    seen = requests.select("request_id", "key", F.lag("request_id").over(by_key).alias("before"), F.lead("request_id").over(by_key).alias("after"))
-    again = seen.where("before is not null").select("request_id", "before")
-    last = seen.select(F.col("request_id").alias("at"), "after")
-    between = (F.col("at") > F.col("before")) & (F.col("at") < F.col("request_id")) & (F.col("after").isNull() | (F.col("after") >= F.col("request_id")))
-    spans = last.alias("l").join(again.alias("a"), between & (F.col("at") >= F.col("before")), "right").groupBy(F.col("a.request_id").alias("request_id")).agg(F.count("at").alias("others"))
-    return seen.join(spans, "request_id", "left").select("request_id", "key", F.coalesce(F.col("others") < capacity, F.lit(False)).alias("hit"))
+    rows = requests.select(F.col("request_id").cast("long").alias("request_id"), F.col("key").cast("string").alias("key"))
+    rows = rows.withColumn("chunk", F.floor(F.col("request_id") / chunk).cast("long"))
+    low, high = rows.agg(F.min("chunk"), F.max("chunk")).first()
+    used = rows.groupBy("chunk", "key").agg(F.max("request_id").alias("last"))
+    held, span = _latest(used.withColumn("chunk", F.col("chunk") + 1), capacity), 1
+    while low is not None and span < high - low:
+        held = _latest(held.union(held.withColumn("chunk", F.col("chunk") + span)), capacity)
+        span *= 2
+
+    def serve(asked: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        cache = Lru(capacity, start.sort_values("last")["key"].tolist())
+        asked = asked.sort_values("request_id")
+        return pd.DataFrame({"request_id": asked["request_id"], "key": asked["key"], "hit": [cache.ask(k) for k in asked["key"]]})
+
+    return rows.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInPandas(serve, "request_id long, key string, hit boolean")
+
+
+def _latest(used: DataFrame, capacity: int) -> DataFrame:
+    """chunk, key and last of the keys used last, at most ``capacity`` for each chunk."""
+    used = used.groupBy("chunk", "key").agg(F.max("last").alias("last"))
+    order = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("last")))
+    return used.withColumn("r", order).where(F.col("r") <= capacity).select("chunk", "key", "last")
 
 
 def hit_rate(hits: DataFrame) -> DataFrame:

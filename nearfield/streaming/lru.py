@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,22 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-class Lru:
-    """Keys by last use; adding beyond the capacity drops the one used longest ago."""
-
-    def __init__(self, capacity: int, keys: list[str] | None = None):
-        self.capacity, self.keys = capacity, OrderedDict.fromkeys(keys or [])
-
-    def ask(self, key: str) -> bool:
-        hit = key in self.keys
-        if hit:
-            self.keys.move_to_end(key)
-        elif self.capacity > 0:
-            self.keys[key] = None
-            if len(self.keys) > self.capacity:
-                self.keys.popitem(last=False)
-        return hit
+from nearfield.operators.cache import Lru
 
 
 def lru_stream(requests: DataFrame, capacity: int, caches: int = 1) -> DataFrame:
