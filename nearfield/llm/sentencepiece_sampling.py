@@ -134,14 +134,13 @@ class Lattice:
         bounds = np.flatnonzero(self.first)
         self.reach = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # characters to the end of the unit
         self.width = int(min(v.longest, self.reach.max(initial=1)))
-        self.ids = np.full((n, self.width), -1, np.int32)
         self._match()
         self._sum()
 
     def _match(self) -> None:
         v, c = self.vocabulary, self.chars
         single = v.single[c]
-        self.ids[:, 0] = np.where(single < 0, -2, single)
+        columns = [np.where(single < 0, -2, single)]
         self.n_bytes = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
         at = np.flatnonzero(self.reach > 1)
         h = v.start(c[at])
@@ -152,43 +151,52 @@ class Lattice:
             place = v.prefixes.find(h)
             keep = place >= 0
             at, h, place = at[keep], h[keep], place[keep]
-            self.ids[at, k] = v.prefixes.values[place]
             if not len(at):
                 break
-
-    def _weights(self, at: np.ndarray, k: np.ndarray | int) -> np.ndarray:
-        """Log weight of the piece of k + 1 characters at each node; without a piece -inf."""
-        piece = self.ids[at, k]
-        out = np.where(piece >= 0, self.vocabulary.logp[np.maximum(piece, 0)], -np.inf)
-        return np.where(piece == -2, self.n_bytes[at] * self.vocabulary.logp.min(), out)
+            columns.append(np.full(len(c), -1, np.int32))
+            columns[-1][at] = v.prefixes.values[place]
+        while len(columns) > 1 and columns[-1].max(initial=-1) < 0:
+            columns.pop()
+        self.ids, self.width = np.stack(columns, 1).astype(np.int32), len(columns)
 
     def _sum(self) -> None:
         """Log sums of all ways from each node to the end of its unit, from the ends backward, and chances."""
-        n = len(self.chars)
-        self.beta = np.zeros(n + 1)
-        self.beta[:n] = -np.inf
-        by = np.argsort(self.reach.astype(np.int32), kind="stable")
+        n, logp = len(self.chars), self.vocabulary.logp
+        # Of the ids, -1 and -2 read the last entries: no piece, and one byte.
+        self.logp = np.concatenate([logp, [logp.min(), -np.inf]])
+        weights = self.logp[self.ids]
+        several = np.flatnonzero((self.ids[:, 0] == -2) & (self.n_bytes > 1))
+        weights[several, 0] *= self.n_bytes[several]
+        self.beta = beta = np.zeros(n + 1)
+        self.upto = np.empty((n, self.width), np.float32)  # summed chances of pieces up to each length
+        self.upto.fill(2.0)
+        by = np.argsort(self.reach.astype(np.uint16) if n and self.reach.max() < 65536 else self.reach, kind="stable")
         cuts = np.searchsorted(self.reach[by], np.arange(1, self.reach.max(initial=0) + 2))
-        self.upto = np.full((n, self.width), 2.0, np.float32)  # summed chances of pieces up to each length
+        ahead = np.arange(1, self.width + 1)
         for d in range(1, len(cuts)):
             at = by[cuts[d - 1] : cuts[d]]
             if not len(at):
                 continue
-            w = np.stack([self._weights(at, k) + (self.beta[at + k + 1] if k + 1 < d else 0.0) for k in range(min(d, self.width))], 1)
+            k = min(d, self.width)
+            w = weights[at, :k]
+            short = k - (k == d)  # the longest piece may end the unit, after which nothing is left to sum
+            if short:
+                w[:, :short] += beta[at[:, None] + ahead[:short]]
             top = w.max(1, keepdims=True)
-            e = np.exp(w - top)
-            total = e.sum(1, keepdims=True)
-            self.beta[at] = (top + np.log(total))[:, 0]
-            chance = np.cumsum(e, 1) / total
-            chance[:, -1] = 2.0
-            last = e.shape[1] - 1 - (e[:, ::-1] > 0).argmax(1)
-            chance[np.arange(len(at)), last] = 2.0  # against rounding
-            self.upto[at, : e.shape[1]] = chance
+            w -= top
+            np.exp(w, out=w)
+            np.cumsum(w, axis=1, out=w)
+            total = w[:, -1:].copy()
+            beta[at] = (top + np.log(total))[:, 0]
+            w[w >= total] = 2.0 * total.max()  # against rounding
+            self.upto[at, :k] = w / total
 
     def log_chance(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Log chance of the piece of k + 1 characters to be next at each node."""
         after = at + k + 1
-        return self._weights(at, k) + np.where(self.first[after], 0.0, self.beta[after]) - self.beta[at]
+        piece = self.ids[at, k]
+        weight = self.logp[piece] * np.where(piece == -2, self.n_bytes[at], 1)
+        return weight + np.where(self.first[after], 0.0, self.beta[after]) - self.beta[at]
 
 
 def _uniform(key: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
@@ -364,7 +372,7 @@ def sample_documents(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, alpha)
         for batch in batches:
-            for part in slices(batch, most=1 << 18):
+            for part in slices(batch, most=1 << 17):
                 ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
                 got = sample(texts, ids, v, k)
                 right = [all(decode(v, s[0].tolist()) == (t or "").replace(MARK, " ") for s in x) for t, x in zip(texts, got, strict=True)]
