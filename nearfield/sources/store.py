@@ -65,6 +65,7 @@ def unpacked_tombstones(packed: DataFrame) -> DataFrame:
     """Ids that ``packed_tombstones`` packed."""
     each = packed.select("bucket", F.posexplode(F.split(F.hex("bits"), "(?<=\\G..)")).alias("byte", "h")).where("h <> '00' and h <> ''")
     value = F.conv("h", 16, 10).cast("int")
-    bits = each.select("bucket", "byte", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.shiftright(value, b).bitwiseAND(F.lit(1)) == 1)).alias("bit"))
+    set_bits = F.array(*[F.when(value.bitwiseAND(F.lit(1 << b)) != 0, F.lit(b)) for b in range(8)])
+    bits = each.select("bucket", "byte", F.explode(F.filter(set_bits, lambda b: b.isNotNull())).alias("bit"))
     per = 8 * 4096
     return bits.select(((F.col("bucket") - 1) * per + F.col("byte") * 8 + F.col("bit")).cast("long").alias("id"))
