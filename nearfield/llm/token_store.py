@@ -73,7 +73,7 @@ class WordEncoder:
                 plain.append((part, m[1].lower(), m[2]))
             else:
                 rest.append(part)
-        words = list({w for _, w, _ in plain} - self.cache.keys())
+        words = list({w for _, w, _ in plain if w not in self.cache})
         for at in range(0, len(words), 8192):
             chunk = words[at : at + 8192]
             texts = [" ".join(chunk[k : k + 512]) for k in range(0, len(chunk), 512)]
@@ -97,7 +97,7 @@ class WordEncoder:
             if parts:
                 new.update(parts)
         known = self.cache
-        new.difference_update(known)
+        new = {p for p in new if p not in known}  # a set's own difference would walk through all that is known
         if new:
             if len(known) + len(new) > self.cache_words:
                 known.clear()
