@@ -88,3 +88,15 @@ def median_run(repeats: DataFrame, case: list[str], value: str = "p50_ms") -> Da
 def median_by(rows: DataFrame, line: list[str], x: str, values: list[str]) -> DataFrame:
     """Medians for each line and x: the points of a plot."""
     return rows.groupBy(*line, x).agg(*[F.median(v).alias(v) for v in values])
+
+
+def before_after(rows: DataFrame, case: list[str], values: list[str]) -> DataFrame:
+    """One row a case with each value before and after (column stage) side by side."""
+    sides = [F.max(F.when(F.col("stage") == s, F.col(v))).alias(f"{v}_{s}") for v in values for s in ("before", "after")]
+    return rows.groupBy(*case).agg(*sides)
+
+
+def cache_times(replayed: DataFrame) -> DataFrame:
+    """Hit rate, and median times of hits and of misses, of (hit, ms)."""
+    half = lambda hit: F.percentile(F.when(F.col("hit") == hit, F.col("ms")), 0.5)
+    return replayed.agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"), half(True).alias("p50_hit_ms"), half(False).alias("p50_miss_ms"))

@@ -127,3 +127,44 @@ def test_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert set(SQL) <= set(QUERIES) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["qid", "rank", "id", "score"]
+
+
+def test_load():
+    from nearfield.plans.load import closed_loop
+
+    def ask(x):
+        if x == 3:
+            raise RuntimeError
+        return x * 2
+
+    got = closed_loop(ask, [1, 2, 3, 4], 3, 0.05)
+    assert got["answers"] == [2, 4, None, 8] and got["errors"] > 0 and got["queries_done"] == len(got["latency_ms"]) > 0
+    with pytest.raises(ValueError):
+        closed_loop(ask, [], 1, 1)
+
+
+def test_embedding(spark):
+    from nearfield.operators.embedding import agreement, embedded, hashing_embedder
+
+    texts = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None)], "id long, text string")
+    got = embedded(texts, hashing_embedder(32)).cache()
+    rows = {r["id"]: r["embedding"] for r in got.collect()}
+    assert rows[1] == rows[2] and set(rows[3]) == {0.0}
+    assert agreement(got, got.where("id < 3")).first().asDict() == {"mean_cosine": pytest.approx(1.0), "rows": 2}
+
+
+def test_graph_frames(spark):
+    from nearfield.operators.graph import NODES, distances_from_entry, without_way_in
+
+    links = [[[1]], [[2]], [[0]], [[1]]]
+    nodes = spark.createDataFrame([(0, 10 * i, [0.0], 0, x, i == 0) for i, x in enumerate(links)], NODES)
+    assert [r["id"] for r in without_way_in(nodes).collect()] == [30]
+    assert {r["id"]: r["steps"] for r in distances_from_entry(nodes).collect()} == {0: 0, 10: 1, 20: 2}
+
+
+def test_report_frames(spark):
+    rows = spark.createDataFrame([("x", "before", 1.0), ("x", "after", 2.0)], "case string, stage string, p50 double")
+    assert metrics.before_after(rows, ["case"], ["p50"]).first().asDict() == {"case": "x", "p50_before": 1.0, "p50_after": 2.0}
+    times = spark.createDataFrame([(True, 1.0), (True, 3.0), (False, 9.0)], "hit boolean, ms double")
+    assert metrics.cache_times(times).first()["p50_hit_ms"] == 2.0
+    assert metrics.median_by(rows, ["case"], "stage", ["p50"]).count() == 2
