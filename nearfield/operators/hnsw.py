@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.random import SplitMix64
 from nearfield.operators.base import Index, filtered, upserted
-from nearfield.operators.graph import Walk, best_first, built, dealt, graph_figures, per_shard, reached
+from nearfield.operators.graph import NODES, Walk, best_first, built, dealt, graph_figures, per_shard, reached
 from nearfield.operators.search import QueryBlock, best_rows, query_blocks, union
 
 REPAIR_PASSES = 3
@@ -191,8 +191,6 @@ class HnswIndex(Index):
             out["links"] = [[[int(place[u]) for u in near] for near in layers] for layers in g.links]
             return out[keep]
 
-        from nearfield.operators.graph import NODES
-
         return rows.groupBy("shard").applyInPandas(run, NODES)
 
     def _update(self, rows: DataFrame) -> None:

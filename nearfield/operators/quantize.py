@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import dot
-from nearfield.operators.search import best_rows, rescore
+from nearfield.operators.search import QUERY_BLOCK_BYTES, best_rows, rescore
 
 
 def scalar_codes(rows: DataFrame, scale: float = 127.0) -> DataFrame:
@@ -26,5 +26,7 @@ def quantized_search(queries: DataFrame, corpus: DataFrame, k: int, kind: str =
         raise ValueError("kind is scalar or binary")
     code = scalar_codes if kind == "scalar" else sign_codes
     q = code(queries.select(F.col("qid").alias("id"), "embedding")).select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
-    pairs = code(corpus).crossJoin(F.broadcast(q)).select("qid", "id", dot("qcode", "code").alias("score"))
+    count, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("qcode")), F.lit(0))).first()
+    small = count * max(1, width) * 8 <= QUERY_BLOCK_BYTES
+    pairs = code(corpus).crossJoin(F.broadcast(q) if small else q).select("qid", "id", dot("qcode", "code").alias("score"))
     return rescore(best_rows(pairs, k * oversample), queries, corpus, k)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.functions.vectors import block_scores, check_metric, sequential_score
+from nearfield.functions.vectors import block_scores, check_metric, score, sequential_score
 
 #: Queries are broadcast in blocks of at most so many bytes.
 QUERY_BLOCK_BYTES = 64 << 20
@@ -166,8 +166,6 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip"
 
 def rescore(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """Full-vector scores of candidates (qid, id), best k. The candidates are few: k or so for each query."""
-    from nearfield.functions.vectors import score
-
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").alias("q"))
     rows = candidates.select("qid", "id").join(corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").alias("x")), "id").join(q, "qid")
     return best_rows(rows.select("qid", "id", score("q", "x", metric).alias("score")), k)

@@ -59,9 +59,6 @@ def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return changes.split(vectors(spark, sf_dir))
 
 
-_L2 = "-list_sum(list_transform(list_zip(q.e, x.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
-
-
 @query(_topk())
 def flat_topk(spark, sf_dir):
     q, c = _sets(spark, sf_dir)
@@ -81,9 +78,8 @@ def flat_limit_prefix(spark, sf_dir):
 
 
 @query(
-    f"WITH t AS ({_topk(where='id < 6')}), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 10 = 0) "
-    f"SELECT qid, r::INT AS rank, coalesce(t.id, -1) AS id, score FROM (SELECT qid, unnest(range(1, {K + 1})) AS r FROM q) s LEFT JOIN t USING (qid) WHERE false "
-    f"UNION ALL SELECT s.qid, s.r::INT, coalesce(t.id, -1), t.score FROM (SELECT qid, unnest(range(1, {K + 1})) AS r FROM q) s LEFT JOIN t ON t.qid = s.qid AND t.rank = s.r"
+    f"WITH t AS ({_topk(where='id < 6')}), s AS (SELECT vec_id AS qid, unnest(range(1, {K + 1})) AS r FROM embeddings WHERE vec_id % 10 = 0) "
+    "SELECT s.qid, s.r::INT AS rank, coalesce(t.id, -1) AS id, t.score FROM s LEFT JOIN t ON t.qid = s.qid AND t.rank = s.r"
 )
 def flat_pad_short(spark, sf_dir):
     q, c = _sets(spark, sf_dir)
