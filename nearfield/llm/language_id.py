@@ -5,6 +5,8 @@ mean of the buckets' embeddings goes through a linear layer and a softmax; embed
 stochastic gradient descent. Both are linear, so a fitted model keeps their product: a score of each bucket
 for each language, a table of fixed size that goes to the executors. A temperature, fitted on rows kept from
 training, makes the probabilities honest; thresholds from the same rows reject texts that are like no language.
+They are set for each length of text apart: by the best language's score, and by the share of the n-grams without
+digits that training texts have. For that share n-grams are hashed so finely that unlike texts hardly collide.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql.window import Window
 from nearfield.llm.common import slices
 
 BITS = 15
+#: Hash bits of the n-grams that training texts have.
+SEEN_BITS = 24
 ORDERS = (3, 4)
 DIM = 16
 EPOCHS = 10
@@ -31,8 +35,12 @@ RATE = 1.0
 TRAIN_ROWS = 2000
 #: Of calibration rows, so large a share may lie under the thresholds.
 REJECT_SHARE = 0.001
-#: No text is rejected whose best language has more than so many times the chance of a guess.
+#: No text with known n-grams is rejected whose best language has more than so many times the chance of a guess.
 DOUBT = 1.25
+#: Numbers of n-grams from which a text has thresholds of its own.
+LENGTHS = (0, 64, 256, 1024, 4096)
+#: A length with fewer calibration rows has no stricter thresholds than the next shorter one.
+LENGTH_ROWS = 20
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -42,23 +50,27 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def _buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all texts, order by order, with each text's first and last for each order."""
+def _buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of all texts, order by order, with each text's first and last for each order, and whether an n-gram has no digit."""
     pieces = [b" " + t.lower().encode("utf-8", "replace") + b"    " for t in texts]
     ends = np.cumsum([len(p) for p in pieces])
     starts = ends - [len(p) for p in pieces]
     raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
-    out, lows, highs, at = [], [], [], 0
+    digit = (raw >= 48) & (raw <= 57)
+    out, plain, lows, highs, at = [], [], [], [], 0
     for order in ORDERS:
         h = np.full(max(0, len(raw) - order + 1), order, np.uint32)
+        has = np.zeros(len(h), bool)
         for k in range(order):
             h = (h ^ raw[k : k + len(h)]) * np.uint32(0x01000193) if order != 3 or k else raw[: len(h)] * np.uint32(0x9E3779B1)
+            has |= digit[k : k + len(h)]
         h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
         out.append(h)
+        plain.append(~has)
         lows.append(starts + at)
         highs.append(ends - order + 1 + at)
         at += len(h)
-    return np.concatenate(out), np.stack(lows), np.stack(highs)
+    return np.concatenate(out), np.stack(lows), np.stack(highs), np.concatenate(plain)
 
 
 @dataclass
@@ -66,25 +78,25 @@ class LanguageModel:
     langs: list[str]
     table: np.ndarray  # bucket, language
     bias: np.ndarray
-    seen: np.ndarray  # bucket: 1 where training texts have it
+    seen: np.ndarray  # hash of SEEN_BITS: whether training texts have it
     bits: int = BITS
     temperature: float = 1.0
-    least_score: float = 0.0
-    least_seen: float = 0.0
+    least_score: tuple[float, ...] = (0.0,) * len(LENGTHS)
+    least_seen: tuple[float, ...] = (0.0,) * len(LENGTHS)
 
-    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (text, language) and the share of each text's n-grams that training texts have."""
+    def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores (text, language), the share of each text's n-grams without digits that training texts have, and its place in LENGTHS."""
         if not texts:
-            return np.zeros((0, len(self.langs))), np.zeros(0)
-        h, lows, highs = _buckets(texts, self.bits)
-        joined = np.column_stack([self.table, self.seen])[h] if len(h) else np.zeros((1, len(self.langs) + 1))
+            return np.zeros((0, len(self.langs))), np.zeros(0), np.zeros(0, int)
+        h, lows, highs, plain = _buckets(texts, SEEN_BITS)
+        joined = np.column_stack([self.table[h >> np.uint32(SEEN_BITS - self.bits)], plain & self.seen[h], plain])
         total, n = np.zeros((len(texts), joined.shape[1])), np.zeros(len(texts))
         joined = np.concatenate([joined, np.zeros((1, joined.shape[1]))])
         for low, high in zip(lows, highs, strict=True):
             total += np.add.reduceat(joined, np.stack([low, high], 1).ravel(), axis=0)[::2]
             n += high - low
-        mean = total / n[:, None]
-        return mean[:, :-1] + self.bias, mean[:, -1]
+        known, of = total[:, -2], total[:, -1]  # each text has blanks at its end, so ``of`` is not 0
+        return total[:, :-2] / n[:, None] + self.bias, known / of, np.searchsorted(LENGTHS, of, "right") - 1
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and rejection of each text; without a letter: ``und``, 0, rejected."""
@@ -92,12 +104,12 @@ class LanguageModel:
         if not self.langs:
             return langs, scores, rejected
         rows = [i for i, t in enumerate(texts) if has_letter(t)]
-        logits, seen = self.logits([texts[i] for i in rows])
+        logits, seen, size = self.logits([texts[i] for i in rows])
         p = softmax(logits / self.temperature)
         best = p.argmax(1)
         for k, i in enumerate(rows):
             langs[i], scores[i] = self.langs[best[k]], float(min(1.0, p[k, best[k]]))
-            rejected[i] = bool(scores[i] < self.least_score or seen[k] < self.least_seen)
+            rejected[i] = bool(scores[i] < self.least_score[size[k]] or seen[k] < self.least_seen[size[k]])
         return langs, scores, rejected
 
 
@@ -118,13 +130,14 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
     held, train = held + _excerpts(held, rng), train + _excerpts(train, rng)
     n = len(langs)
     emb, out, bias = rng.normal(0, 0.1, (1 << bits, DIM)), rng.normal(0, 0.1, (DIM, n)), np.zeros(n)
-    counts = np.zeros(1 << bits)
+    counts = np.zeros(1 << SEEN_BITS, np.uint8)  # up to 3
     features = []
     for text, lang in train:
-        h, lows, highs = _buckets([text], bits)
+        h, lows, highs, _ = _buckets([text], SEEN_BITS)
         h = np.concatenate([h[a:b] for a, b in zip(lows[:, 0], highs[:, 0], strict=True)])
         idx, count = np.unique(h, return_counts=True)
-        counts[idx] += count
+        counts[idx] = np.minimum(counts[idx] + np.minimum(count, 3), 3)
+        idx, count = np.unique(h >> np.uint32(SEEN_BITS - bits), return_counts=True)
         features.append((idx.astype(np.int32), (count / count.sum()).astype(np.float32), langs.index(lang)))
     of = np.bincount([y for *_, y in features], minlength=n)
     weight_of = np.clip(len(features) / n / np.maximum(of, 1), 0.25, 4.0)  # languages count alike, whatever their share
@@ -142,10 +155,13 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
             bias -= 0.1 * rate * g
             emb[idx] -= rate * np.minimum(weight * len(idx), 4.0)[:, None] * back / len(idx) * 20
             at += 1
-    model = LanguageModel(langs, emb @ out, bias, (counts >= 3).astype(float), bits)
+    model = LanguageModel(langs, emb @ out, bias, counts >= 3, bits)
     if not model.seen.any():
         model.seen[:] = counts > 0
-    return calibrate(model, held or train)
+    model = calibrate(model, held or train, _excerpts(held or train, rng, 200))
+    if not held:  # the n-grams of training texts are known by themselves, and say nothing of other texts
+        model.least_seen = (0.0,) * len(LENGTHS)
+    return model
 
 
 def _excerpts(rows: list[tuple[str, str]], rng: np.random.Generator, most: int = 6) -> list[tuple[str, str]]:
@@ -159,12 +175,12 @@ def _excerpts(rows: list[tuple[str, str]], rng: np.random.Generator, most: int =
     return [r for r in found if has_letter(r[0])]
 
 
-def calibrate(model: LanguageModel, rows: list[tuple[str, str]]) -> LanguageModel:
-    """Set the temperature with the least log loss, and thresholds under which few of these rows lie."""
+def calibrate(model: LanguageModel, rows: list[tuple[str, str]], parts: list[tuple[str, str]] = ()) -> LanguageModel:
+    """Set the temperature with the least log loss, and thresholds under which few of these rows and parts lie, by length."""
     rows = [r for r in rows if has_letter(r[0])]
     if not rows:
         return model
-    logits, seen = model.logits([t for t, _ in rows])
+    logits, _, _ = model.logits([t for t, _ in rows])
     y = np.array([model.langs.index(lang) for _, lang in rows])
     doubt = 1 / (len(y) + 2)  # as if one more row had any language, so that no errors here don't mean certainty
 
@@ -173,12 +189,20 @@ def calibrate(model: LanguageModel, rows: list[tuple[str, str]]) -> LanguageMode
         return float(-((1 - doubt) * logp[np.arange(len(y)), y] + doubt * logp.mean(1)).mean())
 
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    logits, seen, size = model.logits([t for t, _ in [*rows, *parts]])
     p = softmax(logits / model.temperature)
-    right = p.argmax(1) == y
-    score = p.max(1)[right]
-    # Rows like those it was trained on are sure; only what is less sure than nearly all of them, and doubtful, is rejected.
-    model.least_score = float(min(DOUBT / len(model.langs), np.quantile(score, REJECT_SHARE))) if len(score) else 0.0
-    model.least_seen = float(0.8 * np.quantile(seen, REJECT_SHARE))
+    right = p.argmax(1) == np.array([model.langs.index(lang) for _, lang in [*rows, *parts]])
+    # Rows like those it was trained on are sure; only what is less sure than nearly all of its length, and doubtful, is rejected.
+    least_score, least_seen = [], []
+    for k in range(len(LENGTHS)):
+        here = size == k
+        score = p.max(1)[here & right]
+        found = float(min(DOUBT / len(model.langs), np.quantile(score, REJECT_SHARE))) if len(score) else 1.0, float(0.8 * np.quantile(seen[here], REJECT_SHARE)) if here.any() else 1.0
+        if here.sum() < LENGTH_ROWS:
+            found = min(found[0], (least_score or [0.0])[-1]), min(found[1], (least_seen or [0.0])[-1])
+        least_score.append(found[0])
+        least_seen.append(found[1])
+    model.least_score, model.least_seen = tuple(least_score), tuple(least_seen)
     return model
 
 

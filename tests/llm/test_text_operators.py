@@ -226,6 +226,30 @@ def test_language(spark, odd, empty, sf_dir):
     assert {r["lang_pred"] for r in language_id.classify(odd, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_language_rejection(spark):
+    """Whole texts in scripts and languages that were not learned are rejected; the rows kept from training stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")  # as many rows as are trained on at most
+    model = language_id.train(docs)
+    foreign = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "bcdfghj klmnpqr stvwxzb cdfghkl mnpqrst vwxzbcd fghjklm npqrstv " * 5,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    assert all(r["rejected"] for r in language_id.classify(rows, model).collect())
+    held = docs.where(language_id.held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    assert not any(r["rejected"] for r in language_id.classify(held, model).collect())
+
+
+def test_language_few_rows():
+    """Fewer rows than any can be kept from: no text is rejected for its n-grams."""
+    model = language_id.fit([("the one of them", "en"), ("der eine von ihnen", "de")])
+    assert set(model.least_seen) == {0.0}
+
+
 # 5: order MinHash
 
 
