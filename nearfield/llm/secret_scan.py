@@ -3,7 +3,8 @@
 Candidates are spans that look like credentials. Over the whole corpus each candidate's hash gets its number
 of distinct repositories (documents) and owners (sources). A value that several owners carry is a copied
 example; one that belongs to few owners and does not look like a placeholder may be live. Spans of the base
-kinds are always reported; spans of further kinds are added where they are not copied. All on the JVM.
+kinds are always reported; spans of further kinds are added where they are not copied. The span of a private key
+is its header, but its value is the header and the key that follows. All on the JVM.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ MORE_KINDS = [
 ]
 # A quicker test for whether a kind can occur at all; a run of digits and letters a-f need only be looked at where it is long enough.
 _HINTS = {"hex": r"[0-9a-f]{16}"}
+# What follows a match and belongs to its value: a key's text up to the next five dashes. Line ends, also escaped
+# ones, quotes and indentation differ among copies of a key; they do not count.
+_BODIES = {"pem": r"(?=((?s:.*?))(?:-----|\z))"}
+_BODY_NOISE = r"\\[nrt]|[^A-Za-z0-9+/=]"
+#: So many characters of a value show whether it looks live; in a whole key, placeholders come up by chance.
+SHOWN_CHARS = 128
 PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your|xxxx|0000000|1234567|abcdefg"
 
 _SPAN = "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>"
@@ -44,6 +51,9 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     """Spans of one kind, by code points; matches with a group that is too short are dropped."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    if kind in _BODIES:
+        bodies = F.regexp_extract_all(text, F.lit(pattern + _BODIES[kind]), F.lit(1))
+        value = F.zip_with(whole, bodies, lambda x, b: F.concat(x, F.regexp_replace(b, _BODY_NOISE, "")))
     between = F.transform(F.split(text, pattern), F.length)
     # Each element: length of the text before the match since the last one, of the match, and its value.
     steps = F.zip_with(F.arrays_zip(whole.alias("m"), value.alias("v")), F.slice(between, 1, F.size(whole)), lambda x, n: F.struct(n.alias("gap"), F.length(x["m"]).alias("n"), x["v"].alias("v")))
@@ -72,7 +82,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def _looks_live(value: Column) -> Column:
-    return (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS) & ~value.rlike(PLACEHOLDER)
+    shown = F.when(value.startswith("-----"), F.substring(value, 1, SHOWN_CHARS)).otherwise(value)
+    return (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS) & ~shown.rlike(PLACEHOLDER)
 
 
 def ownership(found: DataFrame) -> DataFrame:

@@ -106,6 +106,25 @@ def test_secret_scan(spark, odd, empty):
     assert out.count() == len(ODD) and secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secret_keys(spark):
+    """Private keys are told apart by their bodies, not by the header that all of a type share."""
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = lambda i: ["MII" + hashlib.sha256(f"{i} {j}".encode()).hexdigest()[:61].translate(str.maketrans("0123456789", "ghijklmnop")).upper() for j in range(400)]
+    key = lambda i, sep="\n": sep.join([head, *body(i), end])
+    locked = lambda i: "\n".join([head, "Proc-Type: 4,ENCRYPTED", f"DEK-Info: AES-128-CBC,{i}", "", *body(f"e{i}"), end])
+    texts = [(i, f"s{i}", f"𐍈 my key:\n{key(i)}\nand\n{locked(i)}") for i in range(5)]
+    # One key of three owners, its lines broken, escaped and indented, and one that is cut off.
+    texts += [(10, "a", key("x")), (11, "b", f'"{key("x", chr(92) + "n")}"'), (12, "c", key("x", "\r\n    ")), (13, "d", f"{head}\n{body('y')[0]}")]
+    rows = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    out = secret_scan.scan_secrets(rows).select("doc_id", secret_scan.joined(F.col("spans")).alias("s"), "n_live", "n_copied")
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, _, t in texts[:5]:
+        assert [x for x in got[i]["s"].split(",") if "pem" in x] == [f"pem:{m.start()}:{m.end()}" for m in re.finditer(head, t)]
+        assert got[i]["n_copied"] == 0 and got[i]["n_live"] >= 2
+    assert all("pem" not in got[i]["s"] and got[i]["n_copied"] == 1 for i in (10, 11, 12))
+    assert got[13]["s"] == "pem:0:31" and got[13]["n_copied"] == 0
+
+
 # 8: decontamination
 
 
