@@ -1,7 +1,9 @@
 """Licence notices by phrase, and by set-similarity join of text blocks with notice templates.
 
-A block is a run of up to ``BLOCK_LINES`` consecutive lines; a block matches a template when it contains at
-least ``CONTAINMENT`` of the template's distinct words. The join puts the words of all templates in one global
+A block is a run of up to ``BLOCK_LINES`` consecutive lines, or, for notices that are wrapped over more, a run of
+lines with words that reaches from any line as many words on as the template may take; lines without words are
+passed over in it. A block matches a template when it contains at least ``CONTAINMENT`` of the template's distinct
+words. The join puts the words of all templates in one global
 order, rarest in the corpus first, so that with an overlap of o needed
 
 * prefix filter: the first |T| - o + 1 words of a template, and the first |B| - o + 1 of a block, share a word;
@@ -60,6 +62,12 @@ PHRASE_PATTERN = (
 )
 
 
+def template_reach(text: str, containment: float) -> int:
+    """How many words on from a line a notice of this template is looked for: a power of two, from its words and as many others as it may lack."""
+    n = len(re.findall(WORD + "+", text))
+    return 1 << math.ceil(math.log2(max(1.0, n / containment)))
+
+
 def template_words(templates: list[tuple[str, str, str]]) -> list[tuple[str, list[str], str]]:
     """(label, distinct words, word that a match must have) of each template."""
     found = []
@@ -95,14 +103,36 @@ def find_phrases(docs: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(text: Column, lines: int) -> Column:
-    """Runs of 1 to ``lines`` consecutive lines, as strings."""
+def _blocks(text: Column, lines: int, reaches: list[int]) -> Column:
+    """reach and text of blocks: runs of 1 to ``lines`` consecutive lines (reach 0), and longer ones of lines with words.
+
+    From each line, the lines in which the next ``reach`` words stand belong to the run. They are at most
+    ``reach``, as each has a word.
+    """
     all_lines = F.filter(F.split(text, r"[\n\r]+"), lambda x: x != "")
+    block = lambda reach, x: F.struct(F.lit(reach).alias("reach"), x.alias("text"))
 
     def runs(n: int) -> Column:
-        return F.transform(all_lines, lambda _, i: F.when(i + n <= F.size(all_lines), F.array_join(F.slice(all_lines, i + 1, n), " ")))
+        return F.transform(all_lines, lambda _, i: F.when(i + n <= F.size(all_lines), block(0, F.array_join(F.slice(all_lines, i + 1, n), " "))))
+
+    worded = F.transform(F.filter(all_lines, lambda x: x.rlike(WORD)), lambda x: F.struct(x.alias("x"), n_words(x).alias("n")))
+
+    def long_runs(l: Column, reach: int) -> Column:
+        def run(_: Column, i: Column) -> Column:
+            state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"))
+            # Lines that start within ``reach`` words of the end of line i.
+            after = F.aggregate(
+                F.slice(l, i + 2, reach), state,
+                lambda acc, y: F.struct((acc["n"] + y["n"]).alias("n"), (acc["k"] + F.when(acc["n"] < reach, 1).otherwise(0)).alias("k")), lambda acc: acc["k"],
+            )
+            return block(reach, F.array_join(F.transform(F.slice(l, i + 1, after + 1), lambda y: y["x"]), " "))
+
+        return F.transform(l, run)
 
-    return F.filter(F.flatten(F.array(*[runs(n) for n in range(1, lines + 1)])), lambda x: x.isNotNull())
+    # ``worded`` is worked out once: it is the only element of a list.
+    more = F.flatten(F.transform(F.array(worded), lambda l: F.flatten(F.array(*[long_runs(l, r) for r in reaches]))))
+    found = F.filter(F.flatten(F.array(*[runs(n) for n in range(1, lines + 1)])), lambda x: x.isNotNull())
+    return F.when(F.size(all_lines) > lines, F.concat(found, more)).otherwise(found)
 
 
 def match_templates(
@@ -118,18 +148,22 @@ def match_templates(
     for number, (label, words, must) in enumerate(sets):
         words = sorted(words, key=rank.__getitem__)
         need = max(1, math.ceil(round(containment * len(words), 9)))
-        prefixes += [(w, i, number, label, words, must, len(words), need) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "token string, i int, template int, label string, words array<string>, must string, size int, need int")
+        reach = template_reach(templates[number][1], containment)
+        prefixes += [(w, i, number, label, words, must, len(words), need, reach) for i, w in enumerate(words[: len(words) - need + 1])]
+    prefix = spark.createDataFrame(prefixes, "token string, i int, template int, label string, words array<string>, must string, size int, need int, upto int")
 
     rare = "(?i)(?<!%s)(?:%s)(?!%s)" % (WORD, "|".join(sorted({re.escape(p[0]) for p in prefixes})), WORD)
-    candidates = docs.where(F.col("text").rlike(rare)).select("doc_id", "text_hash", F.explode(_blocks(F.col("text"), block_lines)).alias("block"))
+    reaches = sorted({p[-1] for p in prefixes})
+    candidates = docs.where(F.col("text").rlike(rare)).select("doc_id", "text_hash", F.explode(_blocks(F.col("text"), block_lines, reaches)).alias("b"))
+    candidates = candidates.select("doc_id", "text_hash", "b.reach", F.col("b.text").alias("block"))
     candidates = candidates.where(F.col("block").rlike(rare))
     tokens = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.split(F.translate("block", _UPPER, _LOWER), SEPARATORS + "+"))
     candidates = candidates.withColumn("tokens", tokens)  # in the global order
     placed = candidates.select("*", F.posexplode("tokens").alias("j", "token"))
     n = F.size("tokens")
     pairs = placed.join(F.broadcast(prefix), "token").where(
-        (n >= F.col("need"))  # length
+        (F.col("reach") <= F.col("upto"))  # runs that were made for longer templates hold too much for this one
+        & (n >= F.col("need"))  # length
         & (F.col("j") <= n - F.col("need"))  # prefix of the block
         & (1 + F.least(F.col("size") - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need"))  # position
     )

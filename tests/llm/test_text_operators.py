@@ -75,6 +75,22 @@ def test_licence_scan(spark, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licence_wrapped(spark):
+    """Notices over many lines, with marker lines and blank lines between, have their labels and scores."""
+    rows, want = [], {}
+    for label, text, _ in license_scan.TEMPLATES:
+        words = text.split()
+        for each in (1, 2, 4):
+            for mark, gap in (("", ""), ("# ", "#"), (" * ", " *"), ("// ", "  \t")):
+                lines = [mark + " ".join(words[i : i + each]) for i in range(0, len(words), each)]
+                want[len(rows)] = label
+                rows.append((len(rows), "Some words before it.\n" * 5 + f"\n{gap}\n".join(lines) + "\nand some words after it" * 5))
+    rows.append((len(rows), "\n".join("permission is granted to any person who has a copy of this book to read it".split()) * 9))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"] and got[i]["score"] == 1.0 for i, label in want.items())
+    assert got[len(rows) - 1]["labels"] == []
+
+
 # 4: secrets
 
 
