@@ -214,7 +214,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fit on at most ``rows`` labelled rows that are not held out, picked by a hash of their ids."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    ids = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    counts = {r["lang"]: max(1, r["n"]) for r in ids.collect()}  # a row for each language
     usable = labelled.where(F.col("text").rlike(r"\p{L}"))
     if not counts:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0), np.zeros(1))
@@ -228,7 +229,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     picked = ids.withColumn("r", rank).where(F.col("r") <= each).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))
     # At most ``each`` ids a language, so the broadcast is bounded.
     chosen = usable.join(F.broadcast(picked), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l")), "left_semi")
-    found = chosen.select("text", "lang").limit(2 * each * n).collect()
+    # An id may stand in many rows: its least text is taken, so that each language keeps its rows, the same in each run.
+    found = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return fit([(r["text"], r["lang"]) for r in found])
 
 

@@ -279,6 +279,13 @@ def test_language_rejection(spark):
     assert not any(r["rejected"] for r in language_id.classify(held, model).collect())
 
 
+def test_language_repeated_id(spark):
+    """An id in very many rows takes no training rows from other languages."""
+    rows = [(0, f"the one of them {i}", "en") for i in range(3000)] + [(i, f"der eine von ihnen {i}", "de") for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    assert language_id.train(docs, 40).langs == ["de", "en"]
+
+
 def test_language_few_rows():
     """Fewer rows than any can be kept from: no text is rejected for its n-grams."""
     model = language_id.fit([("the one of them", "en"), ("der eine von ihnen", "de")])
