@@ -9,7 +9,8 @@
 4. A pair is compared batch by batch of its signatures and dropped once the posterior probability of reaching
    the threshold is under ``MISS``. What survives is confirmed on the full shingle sets.
 5. Connected components follow from the confirmed links. In buckets that still hold several components, the
-   pairs across components that were not compared yet are verified in the same way, so no link is lost.
+   pairs across components that were not compared yet are verified in the same way, so no link is lost. In large
+   buckets these pairs are found by a prefix filter: both sets hold a shingle that is among the rarest of each.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ BATCH = 32
 MISS = 1e-6
 #: Ids that may be broadcast to select rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: In buckets of more members the bound on shared shingles is worked out before pairs are made.
+#: In buckets of more members pairs are found by rare shingles instead of made from the bucket.
 LARGE = 24
+#: How much larger sets of the next class of sizes are.
+CLASS = 1.05
 # The bytes between words.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -141,9 +144,9 @@ def select_rows(rows: DataFrame, ids: DataFrame, how: str, n_ids: int) -> DataFr
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold; both are read from their whole texts."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), paths)
     texts = select_rows(docs, ids, "left_semi", ids.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """node and comp (the least node it is connected with) of all nodes of edges (a, b).
 
     Alternates the large-star and small-star steps until the edges are stars; every step is a grouped minimum
@@ -190,19 +193,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(row) == mark:
             break
         mark = tuple(row)
+    if paths is not None:
+        paths += old  # the caller drops the table once the result is written
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots)
 
 
-def _renamed(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _renamed(labels: DataFrame | None, links: DataFrame, paths: list[str]) -> DataFrame:
     """Labels after components a and b of ``links`` are joined."""
-    comps = connected_components(links)
+    comps = connected_components(links, paths)
     if labels is None:
-        return materialise(comps)
+        return materialise(comps, paths)
     by = comps.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
     moved = labels.join(by, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
     fresh = comps.join(labels, "node", "left_anti")
-    return materialise(moved.union(fresh))
+    return materialise(moved.union(fresh), paths)
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -241,7 +246,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     alike = materialise(_survivors(pairs, reps, percent), paths)
     # Most links are found by confirming each document's likeliest pair; only ends in different components go on.
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
-    labels = _renamed(None, materialise(_confirmed(best, docs, size, percent), paths))
+    labels = _renamed(None, materialise(_confirmed(best, docs, size, percent, paths), paths), paths)
     rest = _labelled(alike, labels).where("ca <> cb").join(best, ["a", "b"], "left_anti")
     labels = _linked(rest, docs, labels, size, percent, paths)
 
@@ -249,15 +254,16 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     named = reps.select("ka", "kb", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("ka", "kb", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "ka", "kb").join(named, ["ka", "kb"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = materialise(out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    discard(docs.sparkSession, paths)
+    return out
 
 
 def _across(shared: DataFrame, alike: DataFrame, reps: DataFrame, docs: DataFrame, labels: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """Labels after the pairs across components that share a bucket, but were not compared yet, are verified.
 
-    Of a bucket's components all but the largest are paired with the rest of the bucket. In large buckets a
-    bound on the shared shingles comes first: those that a document has to itself are not shared, so it shares
-    at most the others, which leaves far copies of a text without a partner, and without pairs.
+    Of a bucket's components all but the largest are paired with the rest of the bucket. Of large buckets only
+    pairs are made that share one of the rarest shingles of each.
     """
     if not shared.where("n > 2").limit(1).count():
         return labels
@@ -272,37 +278,65 @@ def _across(shared: DataFrame, alike: DataFrame, reps: DataFrame, docs: DataFram
     minor = few.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"))
     pairs = minor.join(few, "bucket").where(other).select("x", "rep")
 
-    many = left.where(F.col("n") > LARGE)
+    many = left.where(F.col("n") > LARGE).groupBy("rep", "comp").agg(F.bool_or(F.col("comp") != F.col("main")).alias("minor"))
+    many = materialise(many, paths)
     if many.limit(1).count():
-        known = materialise(_shareable(many.select(F.col("rep").alias("doc_id")).distinct(), docs, size), paths)
-        known = known.select(F.col("doc_id").alias("rep"), "size", "common")
-        many = materialise(many.join(known, "rep"), paths)
-        low = many.groupBy("bucket").agg(F.min("size").alias("low"))
-        minor = many.where("comp <> main").join(low, "bucket").where((100 + percent) * F.col("common") >= percent * (F.col("size") + F.col("low")))
-        minor = minor.select("bucket", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("sx"), F.col("common").alias("kx"))
-        reach = (100 + percent) * F.least("kx", "common") >= percent * (F.col("sx") + F.col("size"))
-        pairs = pairs.union(minor.join(many, "bucket").where(other & reach).select("x", "rep"))
+        pairs = pairs.union(_prefix_pairs(many, docs, size, percent, paths))
     pairs = pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     found = materialise(_survivors(pairs.join(alike, ["a", "b"], "left_anti"), reps, percent), paths)
     return _linked(_labelled(found, labels), docs, labels, size, percent, paths)
 
 
-def _shareable(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, size (shingles) and common (those that another document among ``ids`` has too)."""
-    ids = materialise(ids)
-    texts = select_rows(docs, ids, "left_semi", ids.count()).dropDuplicates(["doc_id"])
+def _prefix_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
+    """Pairs (x, rep) of ``members`` (rep, comp, minor) that may reach the threshold, of different components, one minor.
+
+    A set's shingles are put in one order, rarest first. Two sets that reach the threshold share a shingle among
+    the first ones of each, so many that what is left would not do; how many that is follows from both sizes, so
+    sets are dealt to classes of about equal size, and the larger set of a pair looks into the classes of smaller
+    ones. Copies of one text that are no links of each other differ from it by more than that, in shingles that
+    few others have, so the shingles of the text itself, which all have, are not looked at.
+    """
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
+    ids = materialise(ids, paths)
+    texts = select_rows(docs, ids, "left_semi", ids.count()).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, count, first = shingle_sets(part["text"].to_pylist(), size)
-                owner = np.repeat(part["doc_id"].to_numpy(zero_copy_only=False), count)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(hashes[first].view(np.int64))], names=["doc_id", "s"])
-
-    each = materialise(texts.mapInArrow(run, "doc_id long, s long"))
-    alone = each.groupBy("s").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    total = each.groupBy("doc_id").agg(F.count("*").alias("size"))
-    return total.join(alone, "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+                starts = np.cumsum(count) - count
+                n, key = np.zeros(len(count), np.int64), np.zeros(len(count), _U)
+                rows = np.flatnonzero(count)
+                if len(rows):
+                    n[rows] = np.add.reduceat(first.astype(np.int64), starts[rows])
+                    key[rows] = np.add.reduceat(mix(hashes + _U(101)) * first.astype(_U), starts[rows])
+                columns = [np.repeat(x, count)[first] for x in (part["doc_id"].to_numpy(zero_copy_only=False), key.view(np.int64), n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hashes[first].view(np.int64))], names=["doc_id", "t", "size", "s"])
+
+    each = materialise(texts.mapInArrow(run, "doc_id long, t long, size long, s long"), paths)
+    held = each.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    sets = each.join(held, "s").groupBy("doc_id", "t", "size").agg(F.array_sort(F.collect_list(F.struct("held", "s")))["s"].alias("l"))
+    # A set's shingles that no other has come first; they take places, but find nobody.
+    sets = sets.withColumn("own", F.col("size") - F.size("l")).where(100 * F.size("l") >= percent * F.col("size"))
+    sets = materialise(sets.withColumn("rep", F.col("doc_id")).join(members, "rep"), paths)
+
+    of = lambda n: F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
+    low = lambda c: F.greatest(F.floor(F.pow(F.lit(CLASS), c) - 1e-6), F.lit(1)).cast("long")
+    # Places in which a set must share a shingle with sets of a class: all but as many as the overlap needs, and one.
+    places = lambda c: F.col("size") - F.ceil(percent * (F.col("size") + low(c)) / (100 + percent)) + 1
+
+    def listed(rows: DataFrame, names: list[str]) -> DataFrame:
+        n = F.greatest(F.lit(0), F.least(places(F.col("c")) - F.col("own"), F.size("l"))).cast("int")
+        rows = rows.select("c", "doc_id", "comp", "minor", "size", "own", F.posexplode(F.slice("l", F.lit(1), n)).alias("p", "s"))
+        left = F.col("size") - F.col("own") - F.col("p")  # shingles from this one on
+        return rows.select("s", "c", *[F.col(c).alias(n) for c, n in zip(["doc_id", "comp", "minor", "size"], names, strict=False)], left.alias(names[4]))
+
+    index = listed(sets.withColumn("c", of(F.col("size"))), ["rep", "comp", "minor", "size", "left"])
+    smallest = F.ceil(percent * F.col("size") / 100)
+    probe = listed(sets.withColumn("c", F.explode(F.sequence(of(smallest), of(F.col("size"))))), ["x", "cx", "mx", "sx", "lx"])
+    larger = (F.col("sx") > F.col("size")) | ((F.col("sx") == F.col("size")) & (F.col("x") > F.col("rep")))
+    enough = (100 + percent) * F.least("lx", "left") >= percent * (F.col("sx") + F.col("size"))
+    return probe.join(index, ["s", "c"]).where((F.col("cx") != F.col("comp")) & (F.col("mx") | F.col("minor")) & larger & enough).select("x", "rep")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, labels: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
@@ -310,9 +344,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, labels: DataFrame, size: int, per
     pairs = materialise(pairs.select("a", "b", "ca", "cb"), paths)
     if not pairs.limit(1).count():
         return labels
-    found = _confirmed(pairs, docs, size, percent).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = _confirmed(pairs, docs, size, percent, paths).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     links = materialise(found.distinct(), paths)
-    return _renamed(labels, links) if links.limit(1).count() else labels
+    return _renamed(labels, links, paths) if links.limit(1).count() else labels
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -321,7 +355,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     Rows without words stay, as they are linked with nothing, but of rows with one doc_id only one stays. Rows
     without a doc_id stay only if no row has an equal text and an id.
     """
-    found = materialise(components(docs, size, percent))
+    found = components(docs, size, percent)
     gone = materialise(found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").where("doc_id is not null").distinct())
     kept = select_rows(docs, gone, "left_anti", gone.count())
     total, ids = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()

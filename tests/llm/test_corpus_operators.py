@@ -65,6 +65,39 @@ def test_components(spark, size, percent):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_prefix_pairs(spark, percent):
+    """The prefix filter finds every pair at the threshold, of sizes near and far, and tables are dropped after use."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    bases = [[word() for _ in range(n)] for n in (40, 60)]
+    texts = {}
+    for i in range(120):
+        w = list(bases[i % 2])[rng.randint(0, 6) :]
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.5:
+                del w[rng.randrange(len(w))]
+            else:
+                w[rng.randrange(len(w))] = rng.choice(["same", word()])
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(i, i, i % 3 > 0) for i in texts], "rep long, comp long, minor boolean")
+    paths = []
+    got = minhash_dedup._prefix_pairs(members, docs, 4, percent, paths).distinct().collect()
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    want = {(i, j) for i in texts for j in texts if i < j and (i % 3 or j % 3) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    found = {(min(r["x"], r["rep"]), max(r["x"], r["rep"])) for r in got}
+    assert want <= found and len(want) > 100 and len(found) < 0.8 * 120 * 119 / 2
+    assert len(paths) == 3
+
+
+def test_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "LARGE", 3)
+    texts = near_copies(seed=6)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_components(texts)[0]
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, None), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
