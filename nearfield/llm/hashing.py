@@ -32,6 +32,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[first:last], which depend on the values alone."""
+    up, down = _powers(len(values) + 1)
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)])))
+    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U) * _U(_BASE))
+
+
 def word_hashes(texts: list[str | None], blanks: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and how many each text has.
 
@@ -46,10 +53,7 @@ def word_hashes(texts: list[str | None], blanks: bytes, lower: bool = False) ->
     inside = np.concatenate(([False], word[b], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edges[::2], edges[1::2]
-    up, down = _powers(len(b) + 1)
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum((b.astype(_U) + _U(1)) * up[: len(b)])))
-    hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U) * _U(_BASE))
-    return hashes, np.diff(np.concatenate(([0], np.searchsorted(first, ends))))
+    return span_hashes(b, first, last), np.diff(np.concatenate(([0], np.searchsorted(first, ends))))
 
 
 def kmers(texts: list[str | None], k: int, blanks: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import slices
-from nearfield.llm.hashing import mix
+from nearfield.llm.hashing import mix, span_hashes
 
 ALPHA = 1.0
 SAMPLES = 2
+#: Bytes of text that are taken together, so that what repeats in them is worked out once.
+SLICE = 1 << 19
 MARK = "▁"  # stands for a blank
 
 _U = np.uint64
@@ -113,30 +115,54 @@ class _Set:
 class Lattice:
     """Pieces that match at each character of some texts, and the chance of each to be next.
 
-    Character i of the joined texts is a node. The lattice falls into units between characters that no piece
-    has side by side; ``first`` marks where they start. ``ids[i, k]`` is the piece of k + 1 characters at i, or
-    -1; -2 stands for the bytes of a character that is no piece.
+    The lattice falls into units between characters that no piece has side by side; ``first`` marks where they
+    start. A unit's pieces and chances follow from its characters alone, so units of equal characters share their
+    nodes: character i of the joined texts is node ``i + shift[i]``. ``ids[node, k]`` is the piece of k + 1
+    characters there, or -1; -2 stands for the bytes of a character that is no piece.
     """
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str]):
         self.vocabulary = v = vocabulary
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        self.chars = c = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
+        c = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
         sizes = np.array([len(t) for t in marked], np.int64)
+        self.size = n = len(c)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        n = len(c)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         self.first = np.ones(n + 1, bool)
         if n > 1:
             self.first[1:n] = v.crossed.find(v.more(v.start(c[:-1]), c[1:])) < 0
         self.first[self.starts[sizes > 0]] = True
         bounds = np.flatnonzero(self.first)
-        self.reach = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # characters to the end of the unit
+        self.units = bounds[:-1]
+        self._share(c, np.diff(bounds))
         self.width = int(min(v.longest, self.reach.max(initial=1)))
         self._match()
         self._sum()
 
+    def _share(self, c: np.ndarray, sizes: np.ndarray) -> None:
+        """Set up the nodes: of units with equal characters, those of one."""
+        numbers = np.arange(len(sizes))
+        like = numbers
+        if len(sizes):
+            hashes = span_hashes(c, self.units, self.units + sizes)
+            slots = (hashes & _U((1 << int(2 * len(sizes)).bit_length()) - 1)).astype(np.int64)
+            table = np.empty(slots.max() + 1, np.int64)
+            table[slots] = numbers
+            like = np.where(hashes[table[slots]] == hashes, table[slots], numbers)
+        for like in (like, numbers):
+            kept = np.flatnonzero(like == numbers)
+            lengths = sizes[kept]
+            ends = np.cumsum(lengths)
+            begins = np.zeros(len(sizes), np.int64)
+            begins[kept] = ends - lengths
+            self.shift = np.repeat(begins[like] - self.units, sizes)
+            self.chars = c[np.repeat(self.units[kept] - begins[kept], lengths) + np.arange(lengths.sum())]
+            if np.array_equal(self.chars[np.arange(len(c)) + self.shift], c):
+                break  # else two different units have one hash
+        self.reach = np.repeat(ends, lengths) - np.arange(len(self.chars))  # characters to the end of the unit
+
     def _match(self) -> None:
         v, c = self.vocabulary, self.chars
         single = v.single[c]
@@ -191,12 +217,11 @@ class Lattice:
             w[w >= total] = 2.0 * total.max()  # against rounding
             self.upto[at, :k] = w / total
 
-    def log_chance(self, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    def log_chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Log chance of the piece of k + 1 characters to be next at each node."""
-        after = at + k + 1
-        piece = self.ids[at, k]
-        weight = self.logp[piece] * np.where(piece == -2, self.n_bytes[at], 1)
-        return weight + np.where(self.first[after], 0.0, self.beta[after]) - self.beta[at]
+        piece = self.ids[node, k]
+        weight = self.logp[piece] * np.where(piece == -2, self.n_bytes[node], 1)
+        return weight + np.where(self.reach[node] == k + 1, 0.0, self.beta[node + k + 1]) - self.beta[node]
 
 
 def _uniform(key: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
@@ -206,110 +231,106 @@ def _uniform(key: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
 
 
 class _Path:
-    """One segmentation of each text: nodes on it, their piece lengths, and the sets that branch off it."""
-
-    def __init__(self, n: int):
-        self.on = np.zeros(n, bool)
-        self.k = np.zeros(n, np.int8)
-        self.value = np.full(n, -np.inf)  # greatest perturbed value of the set that branches off at a node
-        self.used = np.zeros(n, np.uint32)  # lengths (bits) that this set is without
-        self.before = np.zeros(n)  # log chance of the path up to a node
-
-
-def draw(lattice: Lattice, keys: np.ndarray, k: int) -> list[dict[str, np.ndarray]]:
+    """One segmentation of each text: the characters where its pieces start, their lengths, and the sets that branch off."""
+
+    def __init__(self, lattice: Lattice, steps: np.ndarray):
+        self.at = np.flatnonzero(steps >= 0)
+        self.k = steps[self.at].astype(np.int64)  # lengths less 1
+        self.node = self.at + lattice.shift[self.at]
+        self.doc = lattice.doc[self.at]
+        self.of = np.searchsorted(self.at, np.concatenate((lattice.starts, lattice.ends[-1:])))
+        self.place = self.at - lattice.starts[self.doc]
+        self.value = np.full(len(self.at), -np.inf)  # greatest perturbed value of the set that branches off here
+        self.used = np.uint32(1) << self.k.astype(np.uint32)  # lengths (bits) that this set is without
+        chance = lattice.log_chance(self.node, self.k)
+        total = np.empty(len(chance))
+        for a, b in zip(self.of[:-1].tolist(), self.of[1:].tolist(), strict=True):
+            np.cumsum(chance[a:b], out=total[a:b])  # each text by itself, so that its sums depend on nothing else
+        self.chance, self.before = chance, total - chance  # log chance of the piece, and of the path up to it
+        filled = self.of[1:] > self.of[:-1]
+        self.logp = np.where(filled, total[self.of[1:] - 1] if len(total) else 0.0, 0.0)
+
+    def best(self) -> np.ndarray:
+        """The greatest value of each text; -inf where it has no path."""
+        out, rows = np.full(len(self.of) - 1, -np.inf), np.flatnonzero(self.of[1:] > self.of[:-1])
+        if len(rows):
+            out[rows] = np.maximum.reduceat(self.value, self.of[rows])
+        return out
+
+
+def draw(lattice: Lattice, keys: np.ndarray, k: int) -> list[dict]:
     """The k best perturbed segmentations of each text, best first.
 
-    Each element: ``on`` (nodes) and ``k`` (piece lengths less 1) of the paths, and for each text ``logp``,
-    ``gumbel`` (perturbed value; -inf where there are fewer segmentations) and ``threshold`` (best value left).
+    Each element: the ``path``, and for each text ``logp``, ``gumbel`` (perturbed value; -inf where there are
+    fewer segmentations) and ``threshold`` (best value left).
     """
-    n, docs = len(lattice.chars), len(lattice.starts)
-    doc, local = lattice.doc, np.arange(n) - lattice.starts[lattice.doc]
-    key = keys[doc] if n else np.zeros(0, _U)
-    rows = np.flatnonzero(lattice.ends > lattice.starts)
-    heads = lattice.starts[rows]
+    docs = len(lattice.starts)
+    unit_docs = lattice.doc[lattice.units]
     paths: list[_Path] = []
     found = []
 
-    def walk(path: _Path, at: np.ndarray, use: int) -> None:
-        """Draw pieces from these nodes to the ends of their units."""
+    def walk(steps: np.ndarray, at: np.ndarray, use: int) -> None:
+        """Draw pieces from these characters to the ends of their units."""
         while len(at):
-            u = _uniform(key[at], local[at], use).astype(np.float32)
-            step = (lattice.upto[at] <= u[:, None]).sum(1)
-            path.on[at], path.k[at] = True, step
+            doc = lattice.doc[at]
+            u = _uniform(keys[doc], at - lattice.starts[doc], use).astype(np.float32)
+            step = (lattice.upto[at + lattice.shift[at]] > u[:, None]).argmax(1)
+            steps[at] = step
             at = at + step + 1
             at = at[~lattice.first[at]]
 
-    def branch(path: _Path, since: np.ndarray, gumbel: np.ndarray, use: int) -> np.ndarray:
-        """Log chances of the paths; values of the sets that branch off at nodes from ``since`` on."""
-        at = np.flatnonzero(path.on)
-        p = lattice.log_chance(at, path.k[at].astype(np.int64))
-        total = np.concatenate(([0.0], np.cumsum(p)))
-        of = np.searchsorted(at, lattice.starts)
-        before = total[:-1] - total[of[doc[at]]]
-        path.before[at] = before
-        new = at >= since[doc[at]]
-        at, p, before = at[new], p[new], before[new]
+    def branched(steps: np.ndarray, since: np.ndarray, gumbel: np.ndarray, use: int) -> None:
+        """Take up the path; give values to the sets that branch off at characters from ``since`` on."""
+        path = _Path(lattice, steps)
+        new = np.flatnonzero(path.at >= since[path.doc])
+        doc, p = path.doc[new], path.chance[new]
         with np.errstate(divide="ignore", over="ignore"):
-            mass = before + np.log1p(-np.minimum(np.exp(p), 1.0))
+            mass = path.before[new] + np.log1p(-np.minimum(np.exp(p), 1.0))
             mass = np.where(p > -1e-12, -np.inf, mass)
-            e = -np.log(_uniform(key[at], local[at], use))
-            path.value[at] = _truncated(mass, gumbel[doc[at]], e)
-        path.used[at] = np.uint32(1) << path.k[at].astype(np.uint32)
-        ends = np.searchsorted(np.flatnonzero(path.on), lattice.ends)
-        return total[ends] - total[of]
+            path.value[new] = _truncated(mass, gumbel[doc], -np.log(_uniform(keys[doc], path.place[new], use)))
+        paths.append(path)
+        found.append({"path": path, "logp": path.logp, "gumbel": gumbel})
 
     gumbel = -np.log(-np.log(_uniform(keys, np.zeros(docs, np.int64), 1)))
     gumbel[lattice.ends == lattice.starts] = -np.inf
-    first = _Path(n)
-    walk(first, np.flatnonzero(lattice.first[:n]), 2)
-    logp = branch(first, lattice.starts, gumbel, 3)
-    paths.append(first)
-    found.append({"on": first.on, "k": first.k, "logp": logp, "gumbel": gumbel})
+    steps = np.full(lattice.size, -1, np.int8)
+    walk(steps, lattice.units, 2)
+    branched(steps, lattice.starts, gumbel, 3)
     for sample in range(1, k):
         use = 16 * sample
-        best = np.stack([np.maximum.reduceat(p.value, heads) if n else np.zeros(0) for p in paths])
-        which, gumbel = np.zeros(docs, np.int64), np.full(docs, -np.inf)
-        which[rows], gumbel[rows] = best.argmax(0), best.max(0)
-        live = np.flatnonzero(np.isfinite(gumbel))
-        new, since = _Path(n), lattice.ends.copy()
-        start = np.zeros(n, bool)
+        best = np.stack([p.best() for p in paths])
+        which, gumbel = best.argmax(0), best.max(0)
+        steps, since, starts = np.full(lattice.size, -1, np.int8), lattice.ends.copy(), []
         for i, path in enumerate(paths):
-            own = live[which[live] == i]
-            if not len(own):
+            mine = np.isfinite(gumbel) & (which == i)
+            if not mine.any():
                 continue
-            # The node of the best set of each of these texts.
-            hit = np.flatnonzero(path.value == gumbel[doc])
-            hit = hit[np.isin(doc[hit], own)]
-            hit = hit[np.unique(doc[hit], return_index=True)[1]]
-            own = doc[hit]
-            lengths = np.arange(lattice.width)
-            p = np.exp(np.stack([np.where(lattice.reach[hit] > x, lattice.log_chance(hit, np.minimum(x, lattice.reach[hit] - 1)), -np.inf) for x in lengths], 1))
+            # The place of the best set of each of these texts.
+            inside = mine[path.doc]
+            hit = np.flatnonzero(inside & (path.value == gumbel[path.doc]))
+            hit = hit[np.unique(path.doc[hit], return_index=True)[1]]
+            own, at, node, place = path.doc[hit], path.at[hit], path.node[hit], path.place[hit]
+            lengths, reach = np.arange(lattice.width), lattice.reach[node]
+            p = np.exp(np.stack([np.where(reach > x, lattice.log_chance(node, np.minimum(x, reach - 1)), -np.inf) for x in lengths], 1))
             p[(path.used[hit][:, None] >> lengths.astype(np.uint32)) & 1 == 1] = 0.0
             left = p.sum(1)
-            u = _uniform(key[hit], local[hit], use + 1)
-            step = np.minimum((np.cumsum(p, 1) <= (u * left)[:, None]).sum(1), lattice.width - 1)
-            # The set at this node loses the piece; its new best value lies under the one just taken.
+            step = np.minimum((np.cumsum(p, 1) <= (_uniform(keys[own], place, use + 1) * left)[:, None]).sum(1), lattice.width - 1)
+            # The set at this place loses the piece; its new best value lies under the one just taken.
             rest = left - p[np.arange(len(hit)), step]
             with np.errstate(divide="ignore", over="ignore"):
                 mass = np.where(rest > 1e-12, path.before[hit] + np.log(np.maximum(rest, 1e-300)), -np.inf)
-                path.value[hit] = _truncated(mass, gumbel[own], -np.log(_uniform(key[hit], local[hit], use + 2)))
+                path.value[hit] = _truncated(mass, gumbel[own], -np.log(_uniform(keys[own], place, use + 2)))
             path.used[hit] |= np.uint32(1) << step.astype(np.uint32)
-            common = np.zeros(docs, np.int64)
-            common[own] = hit
-            same = path.on & np.isin(doc, own) & (np.arange(n) < common[doc])
-            new.on |= same
-            new.k[same] = path.k[same]
-            new.on[hit], new.k[hit] = True, step
-            since[own] = hit + step + 1
-            start[since[own][since[own] < lattice.ends[own]]] = True
-            start |= lattice.first[:n] & np.isin(doc, own) & (np.arange(n) > hit[np.searchsorted(own, doc).clip(max=len(own) - 1)])
-        walk(new, np.flatnonzero(start), use + 3)
-        logp = branch(new, since, gumbel, use + 4)
-        paths.append(new)
-        found.append({"on": new.on, "k": new.k, "logp": logp, "gumbel": gumbel})
-    threshold = np.full(docs, -np.inf)
-    if len(rows):
-        threshold[rows] = np.stack([np.maximum.reduceat(p.value, heads) for p in paths]).max(0)
+            upto = np.zeros(docs, np.int64)
+            upto[own] = at
+            same = np.flatnonzero(inside & (path.at < upto[path.doc]))
+            steps[path.at[same]] = path.k[same]
+            steps[at] = step
+            since[own] = at + step + 1
+            starts += [lattice.units[mine[unit_docs] & (lattice.units > upto[unit_docs])], since[own][~lattice.first[since[own]]]]
+        walk(steps, np.concatenate([np.zeros(0, np.int64), *starts]), use + 3)
+        branched(steps, since, gumbel, use + 4)
+    threshold = np.stack([p.best() for p in paths]).max(0)
     return [f | {"threshold": threshold} for f in found]
 
 
@@ -320,16 +341,18 @@ def _truncated(location: np.ndarray, most: np.ndarray, e: np.ndarray) -> np.ndar
     return np.where(np.isfinite(location), np.minimum(x, most), -np.inf)
 
 
-def ids_of(lattice: Lattice, path: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(lattice: Lattice, path: _Path) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of a path of each text, and how many each text has."""
-    at = np.flatnonzero(path["on"])
-    ids = lattice.ids[at, path["k"][at].astype(np.int64)]
-    n = np.where(ids == -2, lattice.n_bytes[at], 1)
+    ids = lattice.ids[path.node, path.k]
+    several = np.flatnonzero(ids == -2)
+    if not len(several):
+        return ids, np.diff(path.of)
+    n = np.where(ids == -2, lattice.n_bytes[path.node], 1)
     flat = np.repeat(ids, n)
     ends = np.cumsum(n)
-    for i in np.flatnonzero(ids == -2):
-        flat[ends[i] - n[i] : ends[i]] = lattice.vocabulary.bytes_at[list(chr(lattice.chars[at[i]]).encode("utf-8", "replace"))]
-    return flat, np.bincount(lattice.doc[at], n, len(lattice.starts)).astype(np.int64)
+    for i in several.tolist():
+        flat[ends[i] - n[i] : ends[i]] = lattice.vocabulary.bytes_at[list(chr(lattice.chars[path.node[i]]).encode("utf-8", "replace"))]
+    return flat, np.bincount(path.doc, n, len(lattice.starts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -348,12 +371,12 @@ def sample(texts: list[str | None], keys: list[int | None], v: Vocabulary, k: in
     lattice = Lattice(v, [t or "" for t in texts])
     seeds = mix(np.array([(x if x is not None else -1) & 0xFFFFFFFFFFFFFFFF for x in keys], _U) + _U(77))
     out: list[list] = [[] for _ in texts]
-    for path in draw(lattice, seeds, k):
-        ids, n = ids_of(lattice, path)
+    for got in draw(lattice, seeds, k):
+        ids, n = ids_of(lattice, got["path"])
         ends = np.cumsum(n)
-        for i in np.flatnonzero(np.isfinite(path["gumbel"])):
-            inclusion = 1.0 if path["threshold"][i] == -np.inf else float(-np.expm1(-np.exp(min(path["logp"][i] - path["threshold"][i], 700.0))))
-            out[i].append((ids[ends[i] - n[i] : ends[i]], float(path["logp"][i]), float(path["gumbel"][i]), inclusion))
+        for i in np.flatnonzero(np.isfinite(got["gumbel"])):
+            inclusion = 1.0 if got["threshold"][i] == -np.inf else float(-np.expm1(-np.exp(min(got["logp"][i] - got["threshold"][i], 700.0))))
+            out[i].append((ids[ends[i] - n[i] : ends[i]], float(got["logp"][i]), float(got["gumbel"][i]), inclusion))
     return out
 
 
@@ -372,7 +395,7 @@ def sample_documents(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path, alpha)
         for batch in batches:
-            for part in slices(batch, most=1 << 17):
+            for part in slices(batch, most=SLICE):
                 ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
                 got = sample(texts, ids, v, k)
                 right = [all(decode(v, s[0].tolist()) == (t or "").replace(MARK, " ") for s in x) for t, x in zip(texts, got, strict=True)]

@@ -315,10 +315,11 @@ def test_order_minhash(spark, odd, empty):
 # 9: SentencePiece sampling
 
 
-def test_sampling_law():
-    """First samples follow the lattice's law; pairs that of draws without replacement; inclusion is unbiased."""
-    v, n = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model")), 8000
-    text, ways = sampling.MARK + "an" + sampling.MARK + "at", {}
+@pytest.mark.parametrize(("said", "k"), [("an at", 3), ("a it a it", 5)])
+def test_sampling_law(said, k):
+    """First samples follow the lattice's law; sets that of draws without replacement; inclusion is unbiased."""
+    v, n, samples = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model")), 8000, k
+    text, ways = sampling.MARK + said.replace(" ", sampling.MARK), {}
     pieces = {}
     import sentencepiece
 
@@ -338,9 +339,9 @@ def test_sampling_law():
     total = np.logaddexp.reduce(list(ways.values()))
     p = {k: np.exp(x - total) for k, x in ways.items()}
     first, weighed = dict.fromkeys(p, 0.0), dict.fromkeys(p, 0.0)
-    for got in sampling.sample(["an at"] * n, list(range(n)), v, 3):
+    for got in sampling.sample([said] * n, list(range(n)), v, samples):
         keys = [tuple(s[0].tolist()) for s in got]
-        assert len(set(keys)) == 3 and got[0][2] >= got[1][2] >= got[2][2]
+        assert len(set(keys)) == samples and [s[2] for s in got] == sorted((s[2] for s in got), reverse=True)
         first[keys[0]] += 1 / n
         for k, s in zip(keys, got, strict=True):
             assert abs(np.log(p[k]) - s[1]) < 1e-6
@@ -351,6 +352,18 @@ def test_sampling_law():
     assert len(sampling.sample(["x"], [1], v, 9)[0]) == 2
 
 
+def test_sampling_seed():
+    """Samples depend on key and text alone: not on what else is in the batch, nor on the machine."""
+    v = sampling.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    texts = ["the cat and the hat and the cat", "the the the", "", "hat", "x" * 300]
+    together = sampling.sample(texts, [7, 8, 9, 10, None], v, 3)
+    for i, key in enumerate([7, 8, 9, 10, None]):
+        for a, b in zip(together[i], sampling.sample([texts[i]], [key], v, 3)[0], strict=True):
+            assert (a[0].tolist(), a[1:]) == (b[0].tolist(), b[1:])
+    said = "|".join(" ".join(map(str, s[0].tolist())) for s in together[1])
+    assert said == "272 261 265 272|261 265 272 272|272 272 261 265"
+
+
 @given(st.text(max_size=40), st.integers(1, 4))
 @settings(max_examples=150, deadline=None)
 def test_sampling_decodes(text, k):
