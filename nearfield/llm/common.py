@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # The ASCII code points that separate words. All other code points are word characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The same, one by one: Java looks single characters up in a table, but tries ranges in turn.
+SEPARATOR_TABLE = "[" + "".join(f"\\x{i:02x}" for i in range(128) if not chr(i).isalnum()) + "]"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: Maps UTF-8 bytes to lower case (A-Z only) and each separator to a blank, so that ``split()`` gives the words.
@@ -73,11 +75,15 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def n_words(text: Column) -> Column:
-    """Number of words, on the JVM. Null and empty texts have none."""
-    parts = F.split(text, SEPARATORS + "+")
-    outer = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(parts) - outer).cast("long")
+def words_column(text: Column) -> Column:
+    """Lower-cased words of a text, on the JVM; none for null. As in ``words_of``, only A-Z are lower-cased by force.
+
+    ``lower`` changes other letters too, but the Kelvin sign is the only one that it turns into a letter of ASCII
+    alone; words that differ in other letters are no words of ASCII before or after.
+    """
+    low = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
+    return F.array_remove(F.split(F.coalesce(low, F.lit("")), SEPARATOR_TABLE + "+"), "")
+
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some ``most`` bytes of text each."""

@@ -1,17 +1,16 @@
 """Licence notices by phrase, and by set-similarity join of text blocks with notice templates.
 
-A block is a run of up to ``BLOCK_LINES`` consecutive lines, or, for notices that are wrapped over more, a run of
-lines with words that reaches from any line as many words on as the template may take; lines without words are
-passed over in it. A block matches a template when it contains at least ``CONTAINMENT`` of the template's distinct
-words. The join puts the words of all templates in one global
-order, rarest in the corpus first, so that with an overlap of o needed
-
-* prefix filter: the first |T| - o + 1 words of a template, and the first |B| - o + 1 of a block, share a word;
-* length filter: the block has at least o template words;
-* position filter: the words from a shared one onward suffice for o;
-
-and what passes is verified on the full sets. Templates are fixed texts of this module, so their broadcast is
-bounded. Everything runs on the JVM.
+A block is any run of consecutive words, wherever its lines break, of as many words as a template has and those
+that it may lack. It matches the template if it contains at least ``CONTAINMENT`` of the template's distinct
+words. The join puts the words of all templates in one global order, rarest in the corpus first, and looks at each
+occurrence of a word as the rarest that a block shares with a template of T words. With an overlap of o needed
+
+* prefix filter: the word is among the first T - o + 1 of the template;
+* length filter: as many words around it, not rarer than it, belong to the template as are needed;
+* position filter: the template's words from this one on suffice for o;
+
+and what passes is verified on each block around the occurrence. Every matching block has a rarest shared word, so
+no pair is missed. Templates are a list of fixed texts, so their broadcast is bounded. Everything runs on the JVM.
 """
 
 from __future__ import annotations
@@ -22,10 +21,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import SEPARATORS, WORD, n_words
+from nearfield.llm.common import WORD, words_column
 
 CONTAINMENT = 0.8
-BLOCK_LINES = 3
 
 # Phrases and their labels.
 PHRASES = {
@@ -35,145 +33,131 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening words of public licence notices, by SPDX identifier, with the word without which a
-# notice is that of a sister licence.
+# Licence families, and passages of public licence notices. Of a passage of up to four words none may
+# lack; longer ones differ from those of other families in more than a fifth of their words.
 TEMPLATES = [
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ""),
-    ("LGPL-3.0", "licensed under the GNU Lesser General Public License version 3", "lesser"),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License version 3", "affero"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
-    ("MIT", "Released under the MIT License.", "mit"),
-    ("MIT", "Licensed under the MIT License.", "mit"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ""),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ""),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "nc"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "sa"),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.", ""),
+    ("GPL", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL", "Lesser General Public License"),
+    ("AGPL", "Affero General Public License"),
+    ("Apache", "Apache License, Version 2"),
+    ("Apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("MIT", "under the MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL", "Mozilla Public License"),
+    ("EPL", "Eclipse Public License"),
+    ("CC-BY", "Creative Commons Attribution"),
+    ("CC-BY-NC", "CC BY-NC"),
+    ("CC-BY-SA", "CC BY-SA"),
+    ("CC-BY-ND", "CC BY-ND"),
+    ("CC0", "dedicated to the public domain under CC0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PHRASE_PATTERN = (
-    f"(?<!{WORD})(?:" + "|".join(f"{SEPARATORS}+".join(f"(?i:{w})" for w in p.split()) for p in PHRASES) + f")(?!{WORD})"
-)
-
 
-def template_reach(text: str, containment: float) -> int:
-    """How many words on from a line a notice of this template is looked for: a power of two, from its words and as many others as it may lack."""
-    n = len(re.findall(WORD + "+", text))
-    return 1 << math.ceil(math.log2(max(1.0, n / containment)))
 
-
-def template_words(templates: list[tuple[str, str, str]]) -> list[tuple[str, list[str], str]]:
-    """(label, distinct words, word that a match must have) of each template."""
+def template_words(templates: list[tuple[str, str]], containment: float) -> list[tuple[str, list[str], int, int]]:
+    """(label, distinct words, words that a block needs, words of a block) of each template."""
     found = []
-    for label, text, must in templates:
+    for label, text in templates:
         words = re.findall(WORD + "+", text.translate(str.maketrans(_UPPER, _LOWER)))
-        found.append((label, list(dict.fromkeys(words)), must))
+        distinct = list(dict.fromkeys(words))
+        need = max(1, math.ceil(round(containment * len(distinct), 9)))
+        found.append((label, distinct, need, len(words) + len(distinct) - need))
     return found
 
 
 def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """How often each of a fixed list of words occurs in the corpus."""
-    found = docs.select(F.explode(F.split("text", SEPARATORS + "+")).alias("w")).select(F.lower("w").alias("w"))
-    counted = found.where(F.col("w").isin(words)).groupBy("w").count().collect()  # at most one row for each word of the list
-    return dict.fromkeys(words, 0) | {r["w"]: r["count"] for r in counted}
-
+    counted = docs.select(F.explode(words_column(F.col("text"))).alias("w")).where(F.col("w").isin(words)).groupBy("w").count()
+    return dict.fromkeys(words, 0) | {r["w"]: r["count"] for r in counted.collect()}  # at most one row for each word of the list
 
-def find_phrases(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, n_base, first_word, last_word and base_labels (array) of each row."""
-    hit = docs.withColumn("n_words", n_words(F.col("text"))).withColumn("has", F.coalesce(F.col("text").rlike(PHRASE_PATTERN), F.lit(False)))
-    hit = hit.withColumn("pieces", F.when(F.col("has"), F.split("text", PHRASE_PATTERN)))
-    hit = hit.withColumn("found", F.when(F.col("has"), F.regexp_extract_all("text", F.lit(PHRASE_PATTERN), F.lit(0))))
-    initial = lambda x: F.translate(F.substring(x, 1, 1), _UPPER, _LOWER)
-    # The initials of the phrases differ.
-    label = lambda x: F.coalesce(*[F.when(initial(x) == p[0], F.lit(name)) for p, name in PHRASES.items()])
-    length = lambda x: F.coalesce(*[F.when(initial(x) == p[0], F.lit(len(p.split()))) for p in PHRASES])
-    last = F.col("n_words") - n_words(F.element_at("pieces", -1)) - length(F.element_at("found", -1))
-    return hit.select(
-        "doc_id", "text_hash", "n_words",
-        F.when(F.col("has"), F.size("found")).otherwise(0).cast("long").alias("n_base"),
-        F.when(F.col("has"), n_words(F.element_at("pieces", 1))).alias("first_word"),
-        F.when(F.col("has"), last).cast("long").alias("last_word"),
-        F.when(F.col("has"), F.array_sort(F.array_distinct(F.transform("found", label)))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
-    )
 
+def _starts(w: Column) -> Column:
+    """Place and label of each occurrence of a phrase in a list of words."""
 
-def _blocks(text: Column, lines: int, reaches: list[int]) -> Column:
-    """reach and text of blocks: runs of 1 to ``lines`` consecutive lines (reach 0), and longer ones of lines with words.
+    def at(x: Column, i: Column) -> Column:
+        cases = []
+        for phrase, label in PHRASES.items():
+            first, *rest = phrase.split()
+            found = x == first
+            for n, word in enumerate(rest, 1):
+                found = found & F.get(w, i + n).eqNullSafe(word)
+            cases.append(F.when(found, label))
+        return F.struct(i.cast("long").alias("i"), F.coalesce(*cases).alias("label"))
 
-    From each line, the lines in which the next ``reach`` words stand belong to the run. They are at most
-    ``reach``, as each has a word.
-    """
-    all_lines = F.filter(F.split(text, r"[\n\r]+"), lambda x: x != "")
-    block = lambda reach, x: F.struct(F.lit(reach).alias("reach"), x.alias("text"))
+    return F.filter(F.transform(w, at), lambda s: s["label"].isNotNull())
 
-    def runs(n: int) -> Column:
-        return F.transform(all_lines, lambda _, i: F.when(i + n <= F.size(all_lines), block(0, F.array_join(F.slice(all_lines, i + 1, n), " "))))
 
-    worded = F.transform(F.filter(all_lines, lambda x: x.rlike(WORD)), lambda x: F.struct(x.alias("x"), n_words(x).alias("n")))
-
-    def long_runs(l: Column, reach: int) -> Column:
-        def run(_: Column, i: Column) -> Column:
-            state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"))
-            # Lines that start within ``reach`` words of the end of line i.
-            after = F.aggregate(
-                F.slice(l, i + 2, reach), state,
-                lambda acc, y: F.struct((acc["n"] + y["n"]).alias("n"), (acc["k"] + F.when(acc["n"] < reach, 1).otherwise(0)).alias("k")), lambda acc: acc["k"],
-            )
-            return block(reach, F.array_join(F.transform(F.slice(l, i + 1, after + 1), lambda y: y["x"]), " "))
-
-        return F.transform(l, run)
+def find_phrases(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, n_base, first_word, last_word and base_labels (array) of each row."""
+    # Every phrase has one of these words.
+    may = lambda w: F.array_contains(w, "license") | F.array_contains(w, "by")
+    none = F.array().cast("array<struct<i:bigint,label:string>>")
+    counted = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(may(w), _starts(w)).otherwise(none).alias("s"))
+    # The list of words is the only element of a list, so that it is worked out once.
+    hit = docs.select("doc_id", "text_hash", F.transform(F.array(words_column(F.col("text"))), counted)[0].alias("f"))
+    hit = hit.select("doc_id", "text_hash", F.col("f.n").alias("n_words"), F.col("f.s").alias("s"))
+    return hit.select(
+        "doc_id", "text_hash", "n_words", F.size("s").cast("long").alias("n_base"),
+        F.get("s", F.lit(0))["i"].alias("first_word"), F.get("s", F.size("s") - 1)["i"].alias("last_word"),
+        F.array_sort(F.array_distinct(F.transform("s", lambda x: x["label"]))).alias("base_labels"),
+    )
 
-    # ``worded`` is worked out once: it is the only element of a list.
-    more = F.flatten(F.transform(F.array(worded), lambda l: F.flatten(F.array(*[long_runs(l, r) for r in reaches]))))
-    found = F.filter(F.flatten(F.array(*[runs(n) for n in range(1, lines + 1)])), lambda x: x.isNotNull())
-    return F.when(F.size(all_lines) > lines, F.concat(found, more)).otherwise(found)
 
+def match_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_hash, template (number), label, word (where it is matched) and containment of the blocks at the threshold.
 
-def match_templates(
-    docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
-) -> DataFrame:
-    """doc_id, text_hash, block, label, template (number) and containment of all pairs at the threshold."""
+    A row for each template and each occurrence of a word that is the rarest of a matching block; its containment
+    is that of the best such block.
+    """
     spark = docs.sparkSession
-    sets = template_words(templates)
-    counts = word_counts(docs, sorted({w for _, words, _ in sets for w in words}))
+    sets = template_words(templates, containment)
+    counts = word_counts(docs, sorted({w for _, words, *_ in sets for w in words}))
     order = sorted(counts, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(order)}
-    prefixes = []
-    for number, (label, words, must) in enumerate(sets):
-        words = sorted(words, key=rank.__getitem__)
-        need = max(1, math.ceil(round(containment * len(words), 9)))
-        reach = template_reach(templates[number][1], containment)
-        prefixes += [(w, i, number, label, words, must, len(words), need, reach) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "token string, i int, template int, label string, words array<string>, must string, size int, need int, upto int")
-
-    rare = "(?i)(?<!%s)(?:%s)(?!%s)" % (WORD, "|".join(sorted({re.escape(p[0]) for p in prefixes})), WORD)
-    reaches = sorted({p[-1] for p in prefixes})
-    candidates = docs.where(F.col("text").rlike(rare)).select("doc_id", "text_hash", F.explode(_blocks(F.col("text"), block_lines, reaches)).alias("b"))
-    candidates = candidates.select("doc_id", "text_hash", "b.reach", F.col("b.text").alias("block"))
-    candidates = candidates.where(F.col("block").rlike(rare))
-    tokens = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.split(F.translate("block", _UPPER, _LOWER), SEPARATORS + "+"))
-    candidates = candidates.withColumn("tokens", tokens)  # in the global order
-    placed = candidates.select("*", F.posexplode("tokens").alias("j", "token"))
-    n = F.size("tokens")
-    pairs = placed.join(F.broadcast(prefix), "token").where(
-        (F.col("reach") <= F.col("upto"))  # runs that were made for longer templates hold too much for this one
-        & (n >= F.col("need"))  # length
-        & (F.col("j") <= n - F.col("need"))  # prefix of the block
-        & (1 + F.least(F.col("size") - F.col("i") - 1, n - F.col("j") - 1) >= F.col("need"))  # position
-    )
-    shared = F.size(F.array_intersect("tokens", "words"))
-    return pairs.where((shared >= F.col("need")) & ((F.col("must") == "") | F.array_contains("tokens", F.col("must")))).select("doc_id", "text_hash", "block", "label", "template", (shared / F.col("size")).alias("containment"))
-
-
-def scan_licenses(
-    docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, containment: float = CONTAINMENT, block_lines: int = BLOCK_LINES
-) -> DataFrame:
+    prefixes, first = [], set()
+    for number, (label, words, need, reach) in enumerate(sets):
+        ranks = sorted(rank[w] for w in words)
+        prefixes += [(r, i, number, label, ranks, need, reach) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
+        first.update(ranks[: len(ranks) - need + 1])
+    prefix = spark.createDataFrame(prefixes, "rank int, place int, template int, label string, ranks array<int>, need int, reach int")
+    widest = max((p[-1] for p in prefixes), default=1)
+
+    known, rare = F.array(*[F.lit(w) for w in order]).cast("array<string>"), F.array(*[F.lit(order[r]) for r in sorted(first)]).cast("array<string>")
+    number = lambda x, i: F.struct(i.alias("i"), (F.array_position(known, x).cast("int") - 1).alias("r"))
+    hits = lambda w: F.filter(F.transform(w, number), lambda h: h["r"] >= 0)
+    rarest = F.array(*[F.lit(r) for r in sorted(first)]).cast("array<int>")
+
+    def around(h: Column) -> Column:
+        """Each occurrence of a prefix word, with the template words that stand near it."""
+        near = lambda x, j: F.struct(x["i"].alias("i"), x["r"].alias("r"), F.slice(h, F.greatest(j - widest + 2, F.lit(1)), 2 * widest).alias("near"))
+        return F.filter(F.transform(h, near), lambda x: F.array_contains(rarest, x["r"]))
+
+    none = F.array().cast("array<struct<i:int,r:int,near:array<struct<i:int,r:int>>>>")
+    listed = F.transform(F.array(words_column(F.col("text"))), lambda w: F.when(F.arrays_overlap(w, rare), F.transform(F.array(hits(w)), around)[0]).otherwise(none))[0]
+    placed = docs.select("doc_id", "text_hash", F.explode(listed).alias("a")).select("doc_id", "text_hash", F.col("a.i").alias("at"), F.col("a.r").alias("rank"), "a.near")
+
+    pairs = placed.join(F.broadcast(prefix), "rank")
+    mine = F.filter("near", lambda x: (F.abs(x["i"] - F.col("at")) < F.col("reach")) & (x["r"] >= F.col("rank")) & F.array_contains("ranks", x["r"]))
+    different = lambda l: F.size(F.array_distinct(F.transform(l, lambda x: x["r"])))
+    pairs = pairs.where(F.size("ranks") - F.col("place") >= F.col("need"))  # position
+    pairs = pairs.withColumn("near", mine).where(different("near") >= F.col("need"))  # length
+    # A block that matches can start at one of the template's words.
+    shared = F.transform("near", lambda s: F.when(s["i"] <= F.col("at"), different(F.filter("near", lambda x: (x["i"] >= s["i"]) & (x["i"] < s["i"] + F.col("reach")) & (F.col("at") < s["i"] + F.col("reach"))))))
+    pairs = pairs.withColumn("shared", F.array_max(shared)).where(F.col("shared") >= F.col("need"))
+    return pairs.select("doc_id", "text_hash", "template", "label", F.col("at").alias("word"), (F.col("shared") / F.size("ranks")).alias("containment"))
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Phrases and template matches of each row.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels and labels (sorted arrays), score (the
@@ -183,7 +167,7 @@ def scan_licenses(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     base = find_phrases(docs)
-    found = match_templates(docs, templates, containment, block_lines)
+    found = match_templates(docs, templates, containment)
     found = found.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "more", "best")
     both = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")

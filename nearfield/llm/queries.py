@@ -134,29 +134,22 @@ FROM raw LEFT JOIN cut USING (doc_id)
 
 
 def _op1_sql() -> str:
-    sets = license_scan.template_words(license_scan.TEMPLATES)
-    values = ", ".join(f"({i}, '{label}', {words!r}::VARCHAR[], '{must}')" for i, (label, words, must) in enumerate(sets))
+    sets = license_scan.template_words(license_scan.TEMPLATES, license_scan.CONTAINMENT)
+    values = ", ".join(f"('{label}', {words!r}::VARCHAR[], {need}, {reach})" for label, words, need, reach in sets)
     phrases = license_scan.PHRASES
     starts = " OR ".join(f"w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p in phrases)
     names = " ".join(f"WHEN w[i] = '{p.split()[0]}' THEN '{name}'" for p, name in phrases.items())
-    runs = ", ".join(
-        f"list_transform(range(1, len(l) - {n} + 2), lambda i: array_to_string(l[i:i + {n - 1}], ' '))"
-        for n in range(1, license_scan.BLOCK_LINES + 1)
-    )
     return rf"""
-WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+WITH doc AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 placed AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: {starts}) AS p FROM doc),
-template(t, label, words, must) AS (VALUES {values}),
-block AS (
-  SELECT doc_id, unnest(flatten([{runs}])) AS b
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[
-
-]+'), lambda x: x <> '') AS l FROM doc)),
-tokens AS (SELECT doc_id, list_distinct({_WORDS.format("b")}) AS s FROM block),
+template(label, words, need, reach) AS (VALUES {values}),
+shared AS (
+  SELECT doc_id, w, label, words, need, reach FROM doc, template WHERE len(list_intersect(w, words)) >= need),
 pair AS (
-  SELECT doc_id, label, len(list_intersect(s, words)) AS n, len(words) AS size
-  FROM tokens, template WHERE len(list_intersect(s, words)) >= ceil(round({license_scan.CONTAINMENT} * len(words), 9)) AND (must = '' OR list_contains(s, must))),
-best AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / size) AS c FROM pair GROUP BY 1)
+  SELECT doc_id, label, list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i])),
+    lambda i: len(list_intersect(w[i:i + reach - 1], words)))) / len(words) AS c, need / len(words) AS least
+  FROM shared),
+best AS (SELECT doc_id, list(DISTINCT label) AS more, max(c) AS c FROM pair WHERE c >= least GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda i: CASE {names} END))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda i: CASE {names} END), coalesce(more, [])))), ',') AS labels,
