@@ -31,23 +31,32 @@ ORDERS = (3, 4)
 DIM = 16
 EPOCHS = 10
 RATE = 1.0
+#: An n-gram has a small part in a text's mean, so embeddings take larger steps than the linear layer.
+LIFT = 20.0
 #: The model is fitted on at most so many labelled rows in all, dealt evenly to the languages (20 each at least).
 TRAIN_ROWS = 2000
 #: Of calibration rows, so large a share may lie under the thresholds.
 REJECT_SHARE = 0.001
-#: No text with known n-grams is rejected whose best language has more than so many times the chance of a guess.
-DOUBT = 1.25
+#: The thresholds stay so far under what calibration rows show.
+MARGIN = 0.8
+#: No text with known n-grams is rejected whose best language is more likely than not.
+DOUBT = 0.5
 #: Numbers of n-grams from which a text has thresholds of its own.
 LENGTHS = (0, 64, 256, 1024, 4096)
 #: A length with fewer calibration rows has no stricter thresholds than the next shorter one.
 LENGTH_ROWS = 20
+#: Temperatures that are tried; the best lies well inside.
+TEMPERATURES = np.geomspace(1e-2, 1e2, 121)
+#: At most so many languages are learned, those with the most documents.
+LANGS = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a character of one of Unicode's letter categories."""
+    return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def _buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +160,11 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
             g[y] -= 1
             g *= weight_of[y]
             back = out @ g
+            # The step falls with what it would do to this text's own scores, so that it never overshoots.
+            rate /= 1 + hidden @ hidden + LIFT * (weight @ weight) * (out * out).sum()
             out -= rate * np.outer(hidden, g)
             bias -= 0.1 * rate * g
-            emb[idx] -= rate * np.minimum(weight * len(idx), 4.0)[:, None] * back / len(idx) * 20
+            emb[idx] -= rate * LIFT * weight[:, None] * back
             at += 1
     model = LanguageModel(langs, emb @ out, bias, counts >= 3, bits)
     if not model.seen.any():
@@ -188,16 +199,16 @@ def calibrate(model: LanguageModel, rows: list[tuple[str, str]], parts: list[tup
         logp = np.log(softmax(logits / t) + 1e-12)
         return float(-((1 - doubt) * logp[np.arange(len(y)), y] + doubt * logp.mean(1)).mean())
 
-    model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    model.temperature = float(min(TEMPERATURES, key=loss))
     logits, seen, size = model.logits([t for t, _ in [*rows, *parts]])
     p = softmax(logits / model.temperature)
     right = p.argmax(1) == np.array([model.langs.index(lang) for _, lang in [*rows, *parts]])
-    # Rows like those it was trained on are sure; only what is less sure than nearly all of its length, and doubtful, is rejected.
+    # Rows like those it was trained on are sure; what is clearly less sure than nearly all of its length is rejected.
     least_score, least_seen = [], []
     for k in range(len(LENGTHS)):
         here = size == k
         score = p.max(1)[here & right]
-        found = float(min(DOUBT / len(model.langs), np.quantile(score, REJECT_SHARE))) if len(score) else 1.0, float(0.8 * np.quantile(seen[here], REJECT_SHARE)) if here.any() else 1.0
+        found = float(min(DOUBT, MARGIN * np.quantile(score, REJECT_SHARE))) if len(score) else 0.0, float(MARGIN * np.quantile(seen[here], REJECT_SHARE)) if here.any() else 1.0
         if here.sum() < LENGTH_ROWS:
             found = min(found[0], (least_score or [0.0])[-1]), min(found[1], (least_seen or [0.0])[-1])
         least_score.append(found[0])
@@ -212,10 +223,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on at most ``rows`` labelled rows that are not held out, picked by a hash of their ids."""
+    """Fit on at most ``rows`` labelled rows that are not held out (20 each language at least), picked by a hash of their ids.
+
+    Of more than ``LANGS`` languages those with the most documents are learned.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    counts = {r["lang"]: max(1, r["n"]) for r in ids.collect()}  # a row for each language
+    counts = {r["lang"]: max(1, r["n"]) for r in ids.orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     usable = labelled.where(F.col("text").rlike(r"\p{L}"))
     if not counts:
         return LanguageModel([], np.zeros((1, 0)), np.zeros(0), np.zeros(1))
@@ -223,7 +237,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     each = max(20, rows // n)
     # Ids are thinned by their hash to a few times what is wanted before they are ranked, so no task gets many.
     share = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, 4 * each / c))])
-    ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    ids = labelled.where(F.col("lang").isin([*counts])).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     ids = ids.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picked = ids.withColumn("r", rank).where(F.col("r") <= each).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))

@@ -302,6 +302,29 @@ def test_language_rejection(spark):
     assert not any(r["rejected"] for r in language_id.classify(held, model).collect())
 
 
+def test_language_letters(sf_dir, spark):
+    """Only characters of Unicode's letter categories are letters."""
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert model.predict(["½", "① ²", "Ⅷ", "12 !?", "\u0301"]) == (["und"] * 5, [0.0] * 5, [True] * 5)
+    assert "und" not in model.predict(["ʰ", "ª", "中", "ǅ", "x½"])[0]
+
+
+def test_language_calibration(spark):
+    """The temperature lies inside the grid, scores say how often predictions are right, and doubt alone rejects."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    assert language_id.TEMPERATURES[5] < model.temperature < language_id.TEMPERATURES[-5]
+    assert np.isfinite(model.table).all() and np.abs(model.table).max() < 1e4
+    rows = docs.where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).collect()
+    parts = language_id._excerpts([(r["text"], r["lang"]) for r in rows], np.random.default_rng(1)) * 1
+    langs, scores, _ = model.predict([t for t, _ in parts])
+    right = np.array([a == b for a, (_, b) in zip(langs, parts, strict=True)])
+    assert abs(np.mean(scores) - right.mean()) < 0.05
+    model.least_seen = (0.0,) * len(language_id.LENGTHS)
+    _, scores, rejected = model.predict(["Dzień dobry, to jest zwykły tekst po polsku o pogodzie i przyrodzie " * 8])
+    assert rejected == [True] and scores[0] < 0.5
+
+
 def test_language_repeated_id(spark):
     """An id in very many rows takes no training rows from other languages."""
     rows = [(0, f"the one of them {i}", "en") for i in range(3000)] + [(i, f"der eine von ihnen {i}", "de") for i in range(1, 40)]
