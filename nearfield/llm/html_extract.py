@@ -1,12 +1,13 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. A word scores by its surroundings (kind of block, link, named part of
-the page), a tag scores negative; the weights are log odds counted over labelled pages. One linear scan finds
-the contiguous region with the greatest sum, which spans the article; inside it, blocks whose words score
-negative (an advert between two paragraphs) are left out.
-
-Labelled pages are the fixed ones of this module and a bounded sample of the table's own pages: where a page
-has exactly one article element, that element labels its words.
+A page is a sequence of words and tags. A word's score is a sum of log odds, counted over labelled pages, of what it
+stands in: the kind of its block (text, heading, list, link), the landmark elements around it, and the words of class
+and id names around it. Words that come out positive are candidates and score at most 1 each; the others (an advert
+between two paragraphs) are left out, with the tags before them. Tags score negative, by how much rarer they are
+inside main text than outside. One linear scan finds the contiguous region with the greatest sum, so words beside the
+main text stay out unless they outweigh the tags on the way to them. No part of a page ends the region for good.
+
+Labelled pages are fixed ones of this module, so a page's text depends on nothing else in the table.
 """
 
 from __future__ import annotations
@@ -24,29 +25,25 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import slices
 
-#: At most so many pages of the table, picked by a hash of their ids, are read as labelled pages.
-TRAIN_PAGES = 300
-#: No block costs more, so that a long advert does not end the article that goes on after it.
-BLOCK_LOSS = 6.0
+#: Bounds of one log odds, and what is added to each count.
+LEAST, MOST, SMOOTH = -3.0, 1.0, 0.2
+#: Bounds of a tag's score, and that of tags which no labelled page has.
+TAG_LEAST, TAG_MOST, TAG_OTHER = -1.0, -0.02, -0.2
+#: A block of which so large a part stands in links is a link.
+LINKED = 0.9
 
-# Elements by what they do to text, and names that parts of pages carry.
+# Elements by what they do to text.
 HIDDEN = frozenset("script style noscript template iframe object svg math head title select option textarea canvas audio video datalist".split())
 RAW = frozenset("script style textarea title".split())
-PARTS = frozenset("nav header footer aside form menu dialog button fieldset".split())
+LANDMARKS = frozenset("nav header footer aside form menu dialog button fieldset article main".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = BLOCKS - frozenset("p li dt dd td th tr tbody thead tfoot hr caption h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|subscri\w*|"
-    r"side-?bar|menu|nav\w*|breadcrumbs?|foot(?:er)?|site-?header|page-?header|masthead|top-?bar|comments?|comment-?list|disqus|discussion|repl(?:y|ies)|"
-    r"respond|share|sharing|social|related|recommend\w*|popup|modal|overlay|widget|pagination|pager|login|signup|search|toolbar|skip-?link|legal|copyright|byline-?ad)(?:$|[\s_-])"
-)
-
 # Every part stops at the next "<" or takes all it can for good, so that no page takes more than linear time.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:"[^"<]*+"|'[^'<]*+'|[^>"'<])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -57,8 +54,8 @@ _HIDDEN_ATTR = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?tr
 class Block:
     """Text between two block boundaries, with the surroundings that its words share."""
 
-    place: str  # main: in an article; out: beside the page's article; none: the page has none
-    kind: str  # part (of a named kind), link, list, heading, text
+    kind: str  # heading, list, text; link if nearly all of it is in links
+    around: tuple[str, ...]  # landmark elements and names around it
     parts: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)  # tags before it
     linked: int = 0  # characters in links
@@ -68,21 +65,27 @@ class Block:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+def named(attributes: str) -> tuple[str, ...]:
+    """Class, id, role and label names of an element, lower-cased, each as ``.first-second``."""
+    found = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if attributes else ""
+    return tuple("." + "-".join(w) for w in (re.findall(r"[a-z]+", x) for x in found.split()) if w)
+
+
 def parse(page: str) -> list[Block]:
     """Blocks of a page in order. Unclosed and stray tags are put up with."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open containers: element, whether it is a named part or a part by itself
-    hidden, anchor, leaf, tags = [], 0, "", []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open containers: element, what it adds to its surroundings
+    hidden, anchor, tags = [], 0, []
+    leaf, leaf_names = "", ()
     current: Block | None = None
-    in_main = in_part = 0
 
     def add(piece: str) -> None:
         nonlocal current, tags
         if current is None:
             if not piece.strip():
                 return
-            kind = "part" if in_part else "heading" if leaf in HEADINGS else "list" if leaf == "li" else "text"
-            current = Block("main" if in_main else "out", kind, tags=tags)
+            kind = "heading" if leaf in HEADINGS else "list" if leaf == "li" else "text"
+            current = Block(kind, tuple(dict.fromkeys([x for _, each in stack for x in each] + [*leaf_names])), tags=tags)
             tags = []
             blocks.append(current)
         current.parts.append(piece)
@@ -119,7 +122,7 @@ def parse(page: str) -> list[Block]:
             hidden.clear()  # a head that was never closed
         if hidden:
             continue
-        if name in BLOCKS or current is None:
+        if name in BLOCKS:
             tags.append(name)
         if name == "a":
             anchor = 0 if closing else 1
@@ -129,63 +132,83 @@ def parse(page: str) -> list[Block]:
         if name not in BLOCKS:
             continue
         current, anchor = None, 0
-        leaf = "" if closing else name
+        leaf, leaf_names = ("", ()) if closing or name in CONTAINERS else (name, _around(name, attributes, stack))
         if name in CONTAINERS and name not in VOID:
-            if closing:
-                if any(x[0] == name for x in stack):
-                    while True:
-                        x, part = stack.pop()
-                        in_part -= part
-                        in_main -= x in MAIN
-                        if x == name:
-                            break
-            else:
-                named = any(NAMES.search(a or b or c) for a, b, c in _NAMED.findall(attributes)) if attributes else False
-                part = (name in PARTS and not (name == "header" and in_main)) or (named and name not in ("body", "html")) or bool(attributes and _HIDDEN_ATTR.search(attributes))
-                stack.append((name, part))
-                in_part += part
-                in_main += name in MAIN
-    if not any(b.place == "main" for b in blocks):
-        for b in blocks:
-            b.place = "none"
+            if not closing:
+                stack.append((name, _around(name, attributes, stack)))
+            elif any(x == name for x, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
     for b in blocks:
-        if b.kind != "part" and b.linked * 2 > sum(len(p.strip()) for p in b.parts):
+        if b.linked >= LINKED * sum(len(p.strip()) for p in b.parts):
             b.kind = "link"
     return blocks
 
 
+def _around(name: str, attributes: str, stack: list[tuple[str, tuple[str, ...]]]) -> tuple[str, ...]:
+    """What an element says of the words in it. The header of an article is not that of a page."""
+    own = (name,) if name in LANDMARKS and not (name == "header" and any(x in MAIN for x, _ in stack)) else ()
+    if name not in ("html", "body"):
+        own += named(attributes)
+    return own + ((".hidden",) if attributes and _HIDDEN_ATTR.search(attributes) else ())
+
+
 @dataclass
 class Weights:
-    words: dict[tuple[str, str], float]
+    """Log odds of kinds of blocks, of surroundings, and of tags, between main text and the rest."""
+
+    words: dict[str, float]
     tags: dict[str, float]
-    other_tag: float = -0.5
+
+    def name(self, x: str) -> float:
+        """Log odds of a name: as a whole, or by its last word, or, for half, by its first."""
+        if x in self.words or not x.startswith("."):
+            return self.words.get(x, 0.0)
+        first, *_, last = (x[1:].split("-") * 2)[: max(2, x.count("-") + 1)]
+        return self.words["." + last] if "." + last in self.words else self.words.get("." + first, 0.0) / 2
 
     def word(self, b: Block) -> float:
-        return self.words.get((b.place, b.kind), -1.0 if b.kind in ("part", "link") or b.place == "out" else 0.5)
+        """Score of each word of a block; without a positive one its words are no main text."""
+        return max(LEAST, min(1.0, self.words.get(b.kind, 0.0) + sum(map(self.name, b.around))))
+
+    def tag(self, t: str) -> float:
+        return self.tags.get(t, TAG_OTHER)
 
 
 # Small labelled pages. {...} marks the main text.
 LABELLED = [
     "<body><nav><a>Home</a><a>News</a></nav><div id=content><h1>{Rain in the hills}</h1><p>{It rained for three days and the river rose.}</p><p>{Nobody was hurt.}</p></div><footer>All rights reserved by the paper</footer></body>",
-    "<body><header><div>Daily site name</div></header><div class=post><h2>{A short walk}</h2><p>{We went along the old road to the mill.}</p><ul><li>{bread}</li><li>{cheese and apples}</li></ul><p>{Then we came home.}</p></div><div class=comments><p>Nice story, thanks for that</p></div></body>",
-    "<body><div><a>One</a></div><div><a>Two</a></div><div class=cookie-notice>This site uses cookies to work</div><p>{The council met on Monday to talk about the bridge.}</p><p>{It will be closed in May.}</p><aside><p>Read our other pieces about bridges</p></aside><p>{The work takes a month.}</p></body>",
-    "<body><ul><li><a>Shop</a></li><li><a>Cart</a></li></ul><main><h1>{On bees}</h1><p>{Bees live in hives and make honey from what flowers give.}</p><div class=ad><p>Buy honey now</p></div><p>{They sleep in winter.}</p></main><form><p>Your e-mail address here</p></form></body>",
-    "<body><article><h1>{Notes}</h1><p>{First of all, the plan was never written down by anyone.}</p></article><section class=related><p>More to read from us</p></section><footer><p>Contact and imprint</p></footer></body>",
+    "<body><header><div>Daily site name and its motto</div></header><div class=post><h2>{A short walk}</h2><p>{We went along the old road to the mill.}</p><ul><li>{bread}</li><li>{cheese and apples}</li></ul><p>{Then we came home.}</p></div><div class=comments><p>Nice story, thanks for that</p><div class=comment>I went there too last year</div></div></body>",
+    "<body><div><a>One</a></div><div><a>Two</a></div><div class=cookie-notice>This site uses cookies to work</div><div class=cookie>We value your privacy</div><div id=notice>Please read our new terms</div><p>{The council met on Monday to talk about the bridge.}</p><p>{It will be closed in May.}</p><aside><p>Read our other pieces about bridges</p></aside><p>{The work takes a month.}</p></body>",
+    "<body><ul><li><a>Shop</a></li><li><a>Cart</a></li></ul><main><h1>{On bees}</h1><p>{Bees live in hives and make honey from what flowers give.}</p><div class=ad><p>Buy honey now at our shop</p></div><p>{They sleep in winter.}</p></main><form><p>Your e-mail address here</p></form></body>",
+    "<body><article><h1>{Notes}</h1><p>{First of all, the plan was never written down by anyone.}</p><p class=ads>A word from those who pay</p></article><section class=related><p>More to read from us here</p></section><footer><p>Contact and imprint</p></footer></body>",
+    "<body><div class=banner>Sale until Sunday only</div><div class=menu><ul><li><a>Start</a></li><li><a>About us</a></li></ul></div><div class=text><h1>{How to bake}</h1><ol><li>{Mix the flour with water and salt.}</li><li>{Let it rest for an hour.}</li><li>{Bake it until it is brown.}</li></ol></div><div class=sidebar><h3>Popular</h3><p>What others read this week</p></div></body>",
+    "<body><div class=breadcrumbs><a>Home</a> and <a>Science</a></div><div class=entry><h1>{The moon}</h1><p>{The moon goes round the earth in a month.}</p><blockquote>{It is a world of its own.}</blockquote><div class=share>Tell your friends about it</div><p>{It has no air.}</p></div><div class=newsletter>Get our letter each week</div><div class=promo>Three months for the price of one</div></body>",
+    "<body><table><tr><td><a>Forum</a></td><td><a>Help</a></td></tr></table><div><h2>{Fixing a bike}</h2><p>{Turn the wheel and listen for a click.}</p><table><tr><td>{front wheel}</td><td>{rear wheel}</td></tr></table><p>{Oil the chain last.}</p></div><div class=footer>Made by a small team</div><div class=copyright>All rights reserved</div></body>",
+    "<body><div class=popup><p>Sign up and save ten percent</p></div><dialog><p>Do you accept our terms</p></dialog><article><header><h1>{A day at sea}</h1></header><p>{We left before the sun was up, and the wind was cold.}</p><figure><figcaption>{The harbour at dawn}</figcaption></figure><p>{By noon we were far out.}</p><footer><p>Posted in travel by the editor</p></footer></article><div class=sponsored>Paid for by a bank</div><div class=advertisement>The best loans in town</div></body>",
+    "<body><header><p>Welcome to the town's own page</p></header><menu><li>File</li><li>Edit</li></menu><main><article><h1>{Snow}</h1><p>{Snow fell on the town for the first time in ten years.}</p></article><article class=comment><p>We had none here at all</p></article><section class=replies><p>Same here, no snow yet</p></section></main><button>Load more of them</button><fieldset>Choose your town here</fieldset></body>",
+    "<body><div class=widget>Weather for the week ahead</div><div class=nav><p>Up one level or down</p></div><div class=story><h1>{The old school}</h1><p>{The old school closed after a hundred years.}</p><div class=related>See also what we wrote then</div><div class=tags>schools and towns</div><p>{Its bell is kept in the church.}</p></div><div class=consent>Do you allow us to count visits</div><div class=subscribe>Pay and read on</div></body>",
+    "<body><div class=login>Name and password please</div><div class=search>Find it on this site</div><div class=social>Follow us here and there</div><div id=main><h1>{Salt}</h1><p>{Salt was once worth as much as gold.}</p><p>{Roads were built for it.}</p></div><div class=pager>Next page or last page</div><div class=legal>No liability for what is said</div><div class=recommended>You may like these too</div><div hidden>Not to be seen by anyone</div></body>",
+    "<body><div class=ad-slot>Cheap flights to the south</div><div class=ad-container>New shoes for half</div><div class=site-header>The Evening Post online</div><div class=body><h1>{A choir}</h1><section><p>{The choir sang in the square until it was dark.}</p><p>{People stayed to listen, though it was cold.}</p></section></div><div class=comment-list><p>I was there and it was fine</p></div><div class=discussion>Have your say below</div><div class=respond>Leave a reply with your name</div></body>",
+    "<body><div class=overlay>Wait, do not go yet</div><div class=modal>One more thing for you</div><div class=toolbar>Print or save it</div><div class=content><h1>{Mills}</h1><p>{There were four mills on this river, and one still turns.}</p><ul><li>{the upper mill, built of stone}</li><li>{the lower mill}</li></ul></div><div class=pagination><a>1</a><a>2</a></div><div class=sharing>Send this to a friend</div><div class=topbar>Call us today or write</div><div class=masthead>The Morning Paper since long ago</div><div class=disqus>Join in and talk about it</div></body>",
 ]
 
 
 def count(pages: list[list[tuple[Block, bool]]]) -> Weights:
-    """Log odds of each kind of word, and of each tag before a block, between main text and the rest."""
+    """Log odds of kinds, surroundings and tags, by words, between main text and the rest."""
     inside, outside, tin, tout = Counter(), Counter(), Counter(), Counter()
     for blocks in pages:
         for b, main in blocks:
             n = len(b.text.split())
-            for place in {b.place, "none"}:  # also as if the page had no article element
-                (inside if main else outside)[(place, b.kind)] += n
+            # What a block's name says counts for the name, not for the kind of block in it.
+            for x in b.around or (b.kind,):
+                (inside if main else outside)[x] += n
+            if main:
+                inside[b.kind] += n
             (tin if main else tout).update(b.tags)
-    odds = lambda a, b: max(-4.0, min(2.0, math.log((a + 1) / (b + 1))))
-    words = {k: odds(inside[k], outside[k]) for k in {*inside, *outside}}
-    return Weights(words, {t: max(-1.5, min(-0.05, odds(tin[t], tout[t]) - 1.0)) for t in {*tin, *tout}})
+    odds = lambda a, b: math.log((a + SMOOTH) / (b + SMOOTH))
+    words = {k: max(LEAST, min(MOST, odds(inside[k], outside[k]))) for k in {*inside, *outside}}
+    return Weights(words, {t: max(TAG_LEAST, min(TAG_MOST, odds(tin[t], tout[t]))) for t in {*tin, *tout}})
 
 
 def fixed_pages() -> list[list[tuple[Block, bool]]]:
@@ -199,29 +222,22 @@ def fixed_pages() -> list[list[tuple[Block, bool]]]:
     return found
 
 
-def labelled_by_article(page: str) -> list[tuple[Block, bool]]:
-    """Blocks of a page with one article element, labelled by it; of other pages none."""
-    if len(re.findall(r"<article[\s>]", page, re.I)) != 1:
-        return []
-    return [(b, b.place == "main" and b.kind != "part") for b in parse(page)]
-
+def scores(blocks: list[Block], weights: Weights) -> list[tuple[float, float]]:
+    """For each block the score of the tags before it and of all its words."""
+    found = []
+    for b in blocks:
+        word = weights.word(b)
+        found.append((sum(map(weights.tag, b.tags)), word * len(b.text.split())) if word > 0 else (0.0, 0.0))
+    return found
 
-def fit_weights(pages: DataFrame, most: int = TRAIN_PAGES) -> Weights:
-    """Weights from the fixed labelled pages and at most ``most`` pages of the table."""
-    # Thinned by the hash to a few times what is wanted, so that what tasks send for the order stays small.
-    share = min(1.0, 8 * most / max(1, pages.count()))
-    rows = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64("page_id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    rows = rows.where(F.col("html").rlike("(?i)<article[\\s>]"))
-    sample = rows.orderBy("h", "html").limit(most).collect()
-    return count(fixed_pages() + [x for x in (labelled_by_article(r["html"]) for r in sample) if x])
 
+def best_region(scored: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and last block (exclusive) of the region with the greatest sum; empty if no sum is positive.
 
-def best_region(blocks: list[Block], weights: Weights) -> tuple[int, int]:
-    """First and last block (exclusive) of the region with the greatest sum; empty if no sum is positive."""
+    A region starts with a block's words, so the tags before its first block do not count.
+    """
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for i, b in enumerate(blocks):
-        tags = sum(weights.tags.get(t, weights.other_tag) for t in b.tags)
-        words = max(-BLOCK_LOSS, weights.word(b) * len(b.text.split()))
+    for i, (tags, words) in enumerate(scored):
         total += tags
         if total <= 0:
             total, start = 0.0, i
@@ -236,7 +252,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     blocks = [b for b in parse(page) if b.text]
-    low, high = best_region(blocks, weights)
+    low, high = best_region(scores(blocks, weights))
     return "\n".join(b.text for b in blocks[low:high] if weights.word(b) > 0)
 
 
@@ -246,7 +262,7 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     Null or empty html, and pages without main text, give an empty text. Equal pages give equal texts; extra
     columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(weights or fit_weights(pages))
+    shared = pages.sparkSession.sparkContext.broadcast(weights or count(fixed_pages()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

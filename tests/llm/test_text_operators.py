@@ -256,6 +256,38 @@ def test_html_never_fails(page):
     html_extract.main_text(page, html_extract.count([]))
 
 
+HTML_PAGES = {
+    "named paragraph": ('<article><p>One two three four.</p><p class="ad">Buy now and save</p><p>Five six seven eight.</p></article>', "One two three four.\nFive six seven eight."),
+    "part of a name": ('<article><p>One two three four.</p><section class="related-work"><p>Others did this too.</p></section><p>Five six.</p></article>', "One two three four.\nOthers did this too.\nFive six."),
+    "long advert": ('<div><p>One two three four.</p><div class="promo">' + "buy it " * 5000 + "</div><p>Five six.</p></div>", "One two three four.\nFive six."),
+    "link in a text": ("<article><h2>Head</h2><p>See <a>a rather long title of a piece</a> now</p><p>Five six.</p></article>", "Head\nSee a rather long title of a piece now\nFive six."),
+    "beside the text": ("<div><div><div>My site</div></div></div><div><div><div><p>The first paragraph of this page is long enough.</p><p>And the second.</p></div></div></div><div><div><div>Powered by</div></div></div>", "The first paragraph of this page is long enough.\nAnd the second."),
+    "all kinds": ("<main><article><header><h1>Title</h1></header><p>Some text.</p><ul><li>one point</li></ul><aside>Not this</aside><table><tr><td>cell</td></tr></table><pre>code</pre><p>Bye.</p></article></main><section id=comments><article><p>Great!</p></article></section>", "Title\nSome text.\none point\ncell\ncode\nBye."),
+    "no main text": ("<nav><a>Home</a></nav><footer>All rights reserved</footer>", ""),
+}
+
+
+def test_html_pages():
+    """Hand-labelled pages come out right, and one of them only by the scan."""
+    w = html_extract.count(html_extract.fixed_pages())
+    for name, (page, want) in HTML_PAGES.items():
+        assert html_extract.main_text(f"<body>{page}</body>", w) == want, name
+    for page, labelled in zip(html_extract.LABELLED, html_extract.fixed_pages(), strict=True):
+        assert html_extract.main_text(re.sub("[{}]", "", page), w) == "\n".join(b.text for b, main in labelled if main)
+    page, want = HTML_PAGES["beside the text"]
+    unscanned = "\n".join(b.text for b in html_extract.parse(page) if w.word(b) > 0)
+    assert unscanned != want and "My site" in unscanned
+
+
+@given(st.lists(st.tuples(st.floats(-2, 0), st.floats(0, 3)), max_size=12))
+def test_html_region(scored):
+    """The scan finds the greatest sum of all contiguous regions."""
+    total = lambda a, b: sum(t + x for t, x in scored[a:b]) - scored[a][0]
+    best = max([0.0, *(total(a, b) for a in range(len(scored)) for b in range(a + 1, len(scored) + 1))])
+    low, high = html_extract.best_region(scored)
+    assert (total(low, high) if high > low else 0.0) == pytest.approx(best)
+
+
 def test_html_articles(spark, sf_dir):
     """On the test pages the article element is the main text."""
     for r in html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
