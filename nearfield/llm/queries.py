@@ -162,20 +162,21 @@ def _op4_sql() -> str:
     kinds = secret_scan.BASE_KINDS + secret_scan.MORE_KINDS
     n_base = len(secret_scan.BASE_KINDS)
     quoted = lambda x: x.replace("'", "''")
+    also = {"random": f" AND regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]') AND NOT regexp_matches(v[i], '{secret_scan.HEX}') AND len(list_distinct(string_split(v[i], ''))) >= {secret_scan.RANDOM_CHARS}"}
     spans = " UNION ALL ".join(
         f"SELECT doc_id, owner, {rank} AS rank, '{kind}' AS kind, list_sum(list_transform(g[:i], lambda x: length(x))) "
         f"+ coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS n, v[i] AS value "
         f"FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, owner, regexp_extract_all(text, '{quoted(rx)}') AS m, "
         f"regexp_extract_all(text, '{quoted(rx)}', {group}) AS v, regexp_split_to_array(text, '{quoted(rx)}') AS g "
-        f"FROM doc WHERE regexp_matches(text, '{quoted(secret_scan._HINTS.get(kind, rx))}'))) WHERE length(v[i]) >= {least}"
+        f"FROM doc WHERE regexp_matches(text, '{quoted(secret_scan._HINTS.get(kind, rx))}'))) WHERE length(v[i]) >= {least}{also.get(kind, '')}"
         for rank, (kind, rx, group, least) in enumerate(kinds)
     )
     return rf"""
 WITH doc AS (SELECT doc_id, source AS owner, coalesce(text, '') AS text FROM documents),
 span AS (SELECT *, kind || ':' || start::BIGINT::VARCHAR || ':' || (start + n)::BIGINT::VARCHAR AS said FROM ({spans})),
-held AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM span GROUP BY 1),
+held AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners, count(DISTINCT (coalesce(owner, chr(0)), doc_id)) AS repositories FROM span GROUP BY 1),
 judged AS (
-  SELECT span.*, owners >= {secret_scan.COPIED_OWNERS} AS copied,
+  SELECT span.*, owners >= {secret_scan.COPIED_OWNERS} OR repositories >= {secret_scan.COPIED_REPOSITORIES} AS copied,
     len(list_distinct(string_split(value, ''))) >= {secret_scan.DISTINCT_CHARS}
       AND NOT regexp_matches(value, '{secret_scan.PLACEHOLDER}') AS looks_live
   FROM span JOIN held USING (value)),

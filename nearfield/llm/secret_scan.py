@@ -1,10 +1,11 @@
 """Secrets in texts, judged by who else has them.
 
 Candidates are spans that look like credentials. Over the whole corpus each candidate's hash gets its number
-of distinct repositories (documents) and owners (sources). A value that several owners carry is a copied
-example; one that belongs to few owners and does not look like a placeholder may be live. Spans of the base
-kinds are always reported; spans of further kinds are added where they are not copied. The span of a private key
-is its header, but its value is the header and the key that follows. All on the JVM.
+of distinct repositories (documents) and owners (sources). A value that several owners carry, or that one carries
+in many repositories, is a copied example; one that belongs to few of both and does not look like a placeholder may
+be live. Spans of the base kinds are always reported; spans of further kinds are added where they are not copied.
+Among these are all long random values, whatever stands before them: only their ownership tells keys from examples.
+The span of a private key is its header, but its value is the header and the key that follows. All on the JVM.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from nearfield.llm.common import materialise
 
 #: From this many owners on, a value counts as a copied example.
 COPIED_OWNERS = 3
+#: The same for repositories; a template that one owner keeps in all its repositories is no live secret.
+COPIED_REPOSITORIES = 10
 #: A live-looking value has at least so many different characters.
 DISTINCT_CHARS = 6
 SALTS = 16
@@ -33,7 +36,11 @@ MORE_KINDS = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
     ("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 24),
+    ("random", r"[A-Za-z0-9+]{32,}", 0, 32),
 ]
+#: A random value (without what joins words in paths and slugs) has a letter and a digit, so many different characters at least, and is no match of the kind hex.
+RANDOM_CHARS = 12
+HEX = "^[0-9a-f]+$"
 # A quicker test for whether a kind can occur at all; a run of digits and letters a-f need only be looked at where it is long enough.
 _HINTS = {"hex": r"[0-9a-f]{16}"}
 # What follows a match and belongs to its value: a key's text up to the next five dashes. Line ends, also escaped
@@ -62,7 +69,10 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), (start + x["n"]).alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        out = F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        fits = F.length(x["v"]) >= least
+        if kind == "random":
+            fits = fits & _looks_random(x["v"])
+        out = F.when(fits, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct((start + x["n"]).alias("at"), out.cast(_SPAN).alias("out"))
 
     found = F.aggregate(steps, state, step, lambda acc: acc["out"])
@@ -86,15 +96,22 @@ def _looks_live(value: Column) -> Column:
     return (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARS) & ~shown.rlike(PLACEHOLDER)
 
 
+def _looks_random(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(HEX) & (F.size(F.array_distinct(F.split(value, ""))) >= RANDOM_CHARS)
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_docs and n_owners (distinct; rows without an owner count as one owner) of each candidate value."""
+    """hash, n_repositories and n_owners (distinct; rows without an owner count as one owner) of each candidate value.
+
+    Counts by repository come first, so a value that a third of all rows have is added up before it meets in a task.
+    """
     held = found.select("doc_id", "owner", F.explode("spans").alias("s")).select("doc_id", "owner", F.col("s.hash").alias("hash"))
     by_doc = held.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
     by_owner = by_doc.groupBy("hash", "owner").agg(F.count("*").alias("docs"))
-    return by_owner.groupBy("hash").agg(F.sum("docs").alias("n_docs"), F.count("*").alias("n_owners"))
+    return by_owner.groupBy("hash").agg(F.sum("docs").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """Secrets of each row.
 
     Returns doc_id, base and spans (arrays of kind, start, stop; code points, stop exclusive; by start, then
@@ -108,7 +125,7 @@ def scan_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFra
     rows = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     rows = rows.select("doc_id", "text_hash", F.explode("spans").alias("s"), F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = rows.withColumn("hash", F.col("s.hash")).join(held, ["hash", "salt"])
-    copied = F.col("n_owners") >= copied_owners
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
     span = F.struct("s.start", "s.rank", "s.kind", "s.stop")
     judged = rows.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_list(F.when(~copied & (F.col("s.rank") >= len(BASE_KINDS)), span))).alias("added"),

@@ -145,6 +145,20 @@ def test_secret_scan(spark, odd, empty):
     assert out.count() == len(ODD) and secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secret_ownership(spark):
+    """A value is a copied example from three owners on, or from ten repositories of fewer owners; else it is added."""
+    value = lambda n: hashlib.sha256(str(n).encode()).hexdigest().upper()[:40]
+    rows = [(i, f"o{i % 3}", f"see {value(1)}") for i in range(3)]  # three owners
+    rows += [(10 + i, f"o{i % 2}", f"see {value(2)}") for i in range(9)]  # nine repositories of two owners
+    rows += [(30 + i, "o1", f"see {value(3)}") for i in range(10)]  # ten repositories of one owner
+    rows += [(50, "o1", f"see {value(4)}"), (50, "o1", f"see {value(4)}"), (51, "o2", f"see {value(4)} {'AB' * 20} {value(5).lower()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).select("doc_id", secret_scan.joined(F.col("spans")).alias("s"), "n_copied").collect()}
+    assert {d for d, r in got.items() if r["s"]} == {*range(10, 19), 50, 51} and got[50]["s"] == "random:4:44"
+    assert got[51]["s"] == "random:4:44,hex:86:126"
+    assert {d for d, r in got.items() if r["n_copied"]} == {0, 1, 2, *range(30, 40)}
+
+
 def test_secret_keys(spark):
     """Private keys are told apart by their bodies, not by the header that all of a type share."""
     head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
