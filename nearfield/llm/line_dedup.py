@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import discard, materialise
+from nearfield.llm.common import discard, materialise, partitions_for
 
 MIN_WORDS = 50
+#: Keys that hold more rows than one part in so many of a shuffle partition's even share are joined by broadcast.
+HOT_PARTS = 4
 _FIRST_ID = -(1 << 63)  # stands for a null doc_id, which comes first
 
 
@@ -37,11 +39,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where("w > 0")
 
 
-def _segments(lines: DataFrame, min_words: int) -> DataFrame:
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key, and n, how many of ``rows`` have it.
+
+    A line may stand in a third of all documents. There are at most ``HOT_PARTS`` such keys for each shuffle
+    partition, so their rows of the table are broadcast; the rest is joined by a shuffle.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(1, total // (HOT_PARTS * partitions_for(rows.sparkSession)))
+    hot, cold = table.where(F.col("n") > most).drop("n"), table.where(F.col("n") <= most).drop("n")
+    if not hot.limit(1).count():
+        return rows.join(cold, keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(others)
+
+
+def _segments(lines: DataFrame, min_words: int, paths: list[str]) -> DataFrame:
     """Runs of repeated lines with enough words: line numbers, ids and words as lists."""
     numbered = lines.withColumn("j", F.row_number().over(Window.partitionBy("d", "h").orderBy("i")))
-    many = materialise(lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"))
-    left = materialise(numbered).join(many, ["x", "y"], "left_semi")
+    many = materialise(lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"), paths)
+    left = _joined(materialise(numbered, paths), many, ["x", "y"])
     left = left.withColumn("seg", F.col("j") - F.row_number().over(Window.partitionBy("d", "h").orderBy("j")))
     left = left.withColumn("sum", F.sum("w").over(Window.partitionBy("d", "h", "seg").orderBy("j")))
     segs = left.groupBy("d", "h", "seg").agg(F.array_sort(F.collect_list(F.struct("j", "i", "w", "sum", "x", "y"))).alias("l"))
@@ -65,22 +82,22 @@ def _shortest_runs(l: Column, min_words: int) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
 
 
-def _ranked(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Different keys with their rank, which rises in the order of the keys (with gaps).
+def _ranked(keys: DataFrame, columns: list[str], paths: list[str]) -> DataFrame:
+    """Different keys with their rank, which rises in the order of the keys (with gaps), and n, how often they occur.
 
     Range partitions that are sorted within hold the whole order, so row numbers that rise over partitions are
     ranks. They are written, so that a later read gets the same ones.
     """
-    order = keys.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
-    return materialise(order.withColumn("rank", F.monotonically_increasing_id()))
+    order = keys.groupBy(*columns).agg(F.count("*").alias("n")).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return materialise(order.withColumn("rank", F.monotonically_increasing_id()), paths)
 
 
-def _doubled(state: DataFrame, step: int) -> DataFrame:
+def _doubled(state: DataFrame, step: int, paths: list[str]) -> DataFrame:
     """``state`` with ranks by twice as many lines; past the end of a segment the second rank is -1."""
     pairs = F.transform("ranks", lambda r, i: F.struct(r.alias("a"), F.coalesce(F.get("ranks", i + step), F.lit(-1)).alias("b")))
-    rows = materialise(state.select("d", "h", "seg", F.posexplode(pairs).alias("p", "r")).select("d", "h", "seg", "p", "r.a", "r.b"))
-    ranks = _ranked(rows, ["a", "b"])
-    new = rows.join(ranks, ["a", "b"]).groupBy("d", "h", "seg").agg(F.array_sort(F.collect_list(F.struct("p", "rank")))["rank"].alias("ranks"))
+    rows = materialise(state.select("d", "h", "seg", F.posexplode(pairs).alias("p", "r")).select("d", "h", "seg", "p", "r.a", "r.b"), paths)
+    ranks = _ranked(rows, ["a", "b"], paths)
+    new = _joined(rows, ranks, ["a", "b"]).groupBy("d", "h", "seg").agg(F.array_sort(F.collect_list(F.struct("p", "rank")))["rank"].alias("ranks"))
     return state.drop("ranks").join(new, ["d", "h", "seg"])
 
 
@@ -89,15 +106,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``docs`` has d, h and text, with different (d, h) in each row.
     """
-    segs = materialise(_segments(_lines(docs), min_words))
-    ids = _ranked(segs.select(F.explode("l").alias("e")).select("e.x", "e.y"), ["x", "y"])
-    flat = segs.select("d", "h", "seg", F.posexplode("l").alias("p", "e")).select("d", "h", "seg", "p", "e.x", "e.y").join(ids, ["x", "y"])
+    old: list[str] = []
+    segs = materialise(_segments(_lines(docs), min_words, old), old)
+    flat = materialise(segs.select("d", "h", "seg", F.posexplode("l").alias("p", "e")).select("d", "h", "seg", "p", "e.x", "e.y"), old)
+    flat = _joined(flat, _ranked(flat, ["x", "y"], old), ["x", "y"])
     first = flat.groupBy("d", "h", "seg").agg(F.array_sort(F.collect_list(F.struct("p", "rank")))["rank"].alias("ranks"))
     state = segs.select("d", "h", "seg", F.col("l.i").alias("at"), _shortest_runs(F.col("l"), min_words).alias("runs"))
-    state = materialise(state.join(first, ["d", "h", "seg"]))
+    state = materialise(state.join(first, ["d", "h", "seg"]), old)
     longest = state.agg(F.max(F.array_max(F.transform("runs", lambda r: r["n"])))).first()[0] or 0
 
-    found, step, old = None, 1, []
+    found, step = None, 1
     while step <= longest:
         here = state.select("d", "h", "at", "ranks", F.explode(F.filter("runs", _between(step))).alias("r"))
         here = here.select(
@@ -106,15 +124,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         )
         found = here if found is None else found.unionByName(here)
         if 2 * step <= longest:
-            state = materialise(_doubled(state.where(F.exists("runs", _at_least(2 * step))), step), old)
+            state = materialise(_doubled(state.where(F.exists("runs", _at_least(2 * step))), step, old), old)
         step *= 2
     if found is None:
         return docs.sparkSession.createDataFrame([], "d long, h long, lines array<int>, copies long")
-    found = materialise(found)
-    discard(docs.sparkSession, old)
+    found = materialise(found, old)
     place = F.struct("d", "h", F.element_at("lines", 1).alias("i"))
-    intervals = materialise(found.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1"))
-    return found.join(intervals, ["n", "a", "b"]).where(place != F.col("first")).select("d", "h", "lines", "copies")
+    intervals = found.groupBy("n", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    intervals = materialise(intervals.select(F.col("n").alias("lcp"), "a", "b", "first", "copies", F.col("copies").alias("n")), old)
+    later = _joined(found.withColumnRenamed("n", "lcp"), intervals, ["lcp", "a", "b"]).where(place != F.col("first"))
+    later = materialise(later.select("d", "h", "lines", "copies"))
+    discard(docs.sparkSession, old)
+    return later
 
 
 def _between(step: int):
