@@ -30,7 +30,7 @@ from nearfield.llm.hashing import mix, span_hashes
 ALPHA = 1.0
 SAMPLES = 2
 #: Bytes of text that are taken together, so that what repeats in them is worked out once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 MARK = "▁"  # stands for a blank
 
 _U = np.uint64
@@ -61,6 +61,9 @@ class Vocabulary:
                     rank[i] = max(0.0, -model.get_score(i))
         self.logp = -alpha * np.log(2 + rank)
         self.unknown = model.unk_id()
+        self.raw_sizes = np.array([len(x) for x in self.raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = max(map(len, pieces))
         self.single = np.full(0x110000, -1, np.int32)
         prefixes, pairs = set(), set()
@@ -219,9 +222,17 @@ class Lattice:
 
     def log_chance(self, node: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Log chance of the piece of k + 1 characters to be next at each node."""
-        piece = self.ids[node, k]
-        weight = self.logp[piece] * np.where(piece == -2, self.n_bytes[node], 1)
-        return weight + np.where(self.reach[node] == k + 1, 0.0, self.beta[node + k + 1]) - self.beta[node]
+        return self.log_chance_of(self.ids[node, k], node, k)
+
+    def log_chance_of(self, piece: np.ndarray, node: np.ndarray, k: np.ndarray) -> np.ndarray:
+        chance = self.logp[piece]
+        several = np.flatnonzero(piece == -2)
+        chance[several] *= self.n_bytes[node[several]]
+        after = self.beta[node + k + 1]
+        after[self.reach[node] == k + 1] = 0.0
+        chance += after
+        chance -= self.beta[node]
+        return chance
 
 
 def _uniform(key: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
@@ -242,7 +253,8 @@ class _Path:
         self.place = self.at - lattice.starts[self.doc]
         self.value = np.full(len(self.at), -np.inf)  # greatest perturbed value of the set that branches off here
         self.used = np.uint32(1) << self.k.astype(np.uint32)  # lengths (bits) that this set is without
-        chance = lattice.log_chance(self.node, self.k)
+        self.piece = lattice.ids[self.node, self.k]
+        chance = lattice.log_chance_of(self.piece, self.node, self.k)
         total = np.empty(len(chance))
         for a, b in zip(self.of[:-1].tolist(), self.of[1:].tolist(), strict=True):
             np.cumsum(chance[a:b], out=total[a:b])  # each text by itself, so that its sums depend on nothing else
@@ -343,7 +355,7 @@ def _truncated(location: np.ndarray, most: np.ndarray, e: np.ndarray) -> np.ndar
 
 def ids_of(lattice: Lattice, path: _Path) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of a path of each text, and how many each text has."""
-    ids = lattice.ids[path.node, path.k]
+    ids = path.piece
     several = np.flatnonzero(ids == -2)
     if not len(several):
         return ids, np.diff(path.of)
@@ -366,6 +378,20 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def decoded_right(v: Vocabulary, ids: list[list[np.ndarray]], texts: list[str | None]) -> list[bool]:
+    """For each text whether all its segmentations decode to it (U+2581 as a blank)."""
+    flat = np.concatenate([np.zeros(0, np.int32), *[x for each in ids for x in each]])
+    sizes = v.raw_sizes[flat]
+    got = v.raw_bytes[np.repeat(v.raw_starts[flat] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    want = [(" " + t.replace(MARK, " ") if t else "").encode("utf-8", "replace") for t in texts]
+    # All at once: the same bytes, and the same ends of texts in them.
+    said = [w for w, each in zip(want, ids, strict=True) for _ in each]
+    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([len(x) for each in ids for x in each], dtype=np.int64)]
+    if np.array_equal(ends, np.cumsum([len(x) for x in said], dtype=np.int64)) and got.tobytes() == b"".join(said):
+        return [True] * len(texts)
+    return [all(decode(v, x.tolist()) == (t or "").replace(MARK, " ") for x in each) for t, each in zip(texts, ids, strict=True)]
+
+
 def sample(texts: list[str | None], keys: list[int | None], v: Vocabulary, k: int = SAMPLES) -> list[list[tuple[list[int], float, float, float]]]:
     """For each text up to k different segmentations: ids, log probability, perturbed value, inclusion."""
     lattice = Lattice(v, [t or "" for t in texts])
@@ -398,7 +424,7 @@ def sample_documents(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha:
             for part in slices(batch, most=SLICE):
                 ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
                 got = sample(texts, ids, v, k)
-                right = [all(decode(v, s[0].tolist()) == (t or "").replace(MARK, " ") for s in x) for t, x in zip(texts, got, strict=True)]
+                right = decoded_right(v, [[s[0] for s in x] for x in got], texts)
                 flat = [s[0] for x in got for s in x]
                 inner = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(f) for f in flat]))).astype(np.int32)),
