@@ -57,6 +57,23 @@ class Index(ABC):
         self._changeable()
         self._update(rows.select(F.col("id").cast("long").alias("id"), "embedding"))
 
+    def insert(self, rows: DataFrame) -> None:
+        """Add rows with new ids (id, embedding and the corpus's attributes) to the built index; searches see them at once.
+
+        Nothing is trained again. Ids that the index has already, deleted ones included, are an error.
+        """
+        rows = rows.withColumn("id", F.col("id").cast("long")).select(*[F.col(f"`{c}`") for c in self.columns])
+        if rows.join(self.rows.select("id"), "id", "left_semi").limit(1).count():
+            raise ValueError("an inserted id is in the index already")
+        self._insert(rows)
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != "list_id"]
+
+    def _insert(self, rows: DataFrame) -> None:
+        raise ValueError(f"{self.name} takes no inserts")
+
     def compact(self, mode: str = "rebuild") -> None:
         """Drop deleted rows for good; ids stay."""
         self._changeable()

@@ -22,6 +22,9 @@ class FlatIndex(Index):
     def _update(self, rows: DataFrame) -> None:
         self.rows = upserted(self.rows, rows)
 
+    def _insert(self, rows: DataFrame) -> None:
+        self.rows = self.rows.unionByName(rows)
+
     def _compact(self, mode: str) -> None:
         self.rows, self.deleted = self.live(self.rows), None
 

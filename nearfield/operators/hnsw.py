@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.random import SplitMix64
 from nearfield.operators.base import Index, filtered, upserted
-from nearfield.operators.graph import NODES, Walk, best_first, built, dealt, graph_figures, per_shard, reached
+from nearfield.operators.graph import NODES, Walk, best_first, built, dealt, graph_figures, per_shard, reached, shard_count
 from nearfield.operators.search import QueryBlock, best_rows, query_blocks, union
+from nearfield.sources.scratch import written
 
 REPAIR_PASSES = 3
 
@@ -132,7 +133,7 @@ def loaded(pdf: pd.DataFrame, m: int, ef_construct: int) -> Graph:
 
 class HnswIndex(Index):
     name = "hnsw"
-    build_defaults = {"m": 16, "ef_construct": 100, "shards": 1}
+    build_defaults = {"m": 16, "ef_construct": 100, "shards": None}
     search_defaults = {"ef": 64}
 
     def _build(self, corpus: DataFrame) -> None:
@@ -145,6 +146,7 @@ class HnswIndex(Index):
             g = build(vectors, m, ef, seed)
             return [len(x) - 1 for x in g.links], g.links, g.entry
 
+        self.params["shards"] = shard_count(corpus, self.params["shards"])
         self.nodes = built(dealt(corpus, self.params["shards"]), run)
 
     def _walks(self, queries: DataFrame, k: int, where: Column | None, ef: int) -> DataFrame:
@@ -191,7 +193,33 @@ class HnswIndex(Index):
             out["links"] = [[[int(place[u]) for u in near] for near in layers] for layers in g.links]
             return out[keep]
 
-        return rows.groupBy("shard").applyInPandas(run, NODES)
+        return written(rows.groupBy("shard").applyInPandas(run, NODES))
+
+    def _insert(self, rows: DataFrame) -> None:
+        """New rows join the graph of their shard in id order, after the rows that are there."""
+        self.rows = self.rows.unionByName(rows)
+        blank = F.array().cast("array<array<int>>")
+        new = dealt(rows, self.params["shards"]).select("shard", "id", "embedding", F.lit(-1).alias("level"), blank.alias("links"), F.lit(False).alias("entry"))
+        m, efc, seed = self.params["m"], self.params["ef_construct"], self.seed
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id").reset_index(drop=True)
+            old, fresh = pdf[pdf["level"] >= 0], pdf[pdf["level"] < 0]
+            # Links are places by id; rows that come between others move these.
+            place = dict(enumerate(old.index.tolist()))
+            g = Graph(np.stack(pdf["embedding"].to_numpy()).astype(np.float64), m, efc)
+            for v, layers in zip(old.index, old["links"], strict=True):
+                g.links[v] = [[place[int(u)] for u in near] for near in layers]
+            entry = old.index[old["entry"].to_numpy(bool)]
+            g.entry = int(entry[0]) if len(entry) else -1
+            random = SplitMix64(seed)
+            levels = [random.level(m) for _ in range(len(pdf))][len(old) :]  # those that a build would have drawn next
+            for v, level in zip(fresh.index.tolist(), levels, strict=True):
+                g.insert(v, level)
+            g.repair(list(range(len(pdf))))
+            return pd.DataFrame({"shard": pdf["shard"], "id": pdf["id"], "embedding": list(g.vectors), "level": [len(x) - 1 for x in g.links], "links": g.links, "entry": [v == g.entry for v in range(len(pdf))]})
+
+        self.nodes = written(self.nodes.unionByName(new).groupBy("shard").applyInPandas(run, NODES))
 
     def _update(self, rows: DataFrame) -> None:
         self.rows = upserted(self.rows, rows)

@@ -18,6 +18,7 @@ from nearfield.functions.vectors import block_scores
 from nearfield.operators.base import Index, filtered, upserted
 from nearfield.operators.kmeans import assign, kmeans
 from nearfield.operators.search import best_rows, probed_rows, query_blocks, scan, union, vectors_of
+from nearfield.sources.scratch import written
 
 
 def with_list(rows: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -50,7 +51,7 @@ class IvfIndex(Index):
     def _build(self, corpus: DataFrame) -> None:
         p = self.params
         self.centers = kmeans(corpus, p["nlist"], p["iters"], self.seed, p["train_size"])
-        self.rows = with_list(corpus, self.centers)
+        self.rows = written(with_list(corpus, self.centers))
 
     def _probed(self, queries: DataFrame, nprobe: int):
         for block in query_blocks(queries):
@@ -81,7 +82,10 @@ class IvfIndex(Index):
     def _update(self, rows: DataFrame) -> None:
         # Centres are not trained again; changed rows move to the list of their new best centre.
         changed = upserted(self.rows.join(rows.select("id"), "id", "left_semi"), rows)
-        self.rows = self.rows.join(rows.select("id"), "id", "left_anti").unionByName(with_list(changed, self.centers))
+        self.rows = self.rows.join(rows.select("id"), "id", "left_anti").unionByName(written(with_list(changed, self.centers)))
+
+    def _insert(self, rows: DataFrame) -> None:
+        self.rows = self.rows.unionByName(written(with_list(rows, self.centers)))
 
     def _compact(self, mode: str) -> None:
         self.rows, self.deleted = self.live(self.rows), None

@@ -19,6 +19,7 @@ from nearfield.operators import kmeans
 from nearfield.operators.base import Index
 from nearfield.operators.ivf import probes, with_list
 from nearfield.operators.search import QueryBlock, TopK, best_rows, query_blocks, rescore, scan, union, vectors_of
+from nearfield.sources.scratch import written
 
 CODEWORDS = 256
 
@@ -101,7 +102,7 @@ class PqIndex(Index):
         width = corpus.select(F.size("embedding")).first()[0]
         check(width, p["m"], p["nbits"], p["metric"])
         self.books = train_codebooks(_training_rows(corpus, p["train_size"]), p["m"], p["iters"], self.seed, p["metric"])
-        self.codes = self._encoded(corpus.select("id", "embedding"))
+        self.codes = written(self._encoded(corpus.select("id", "embedding")))
 
     def _encoded(self, rows: DataFrame) -> DataFrame:
         metric = self.params["metric"]
@@ -138,6 +139,11 @@ class PqIndex(Index):
         found = best_rows(union(parts, self.spark.createDataFrame([], "qid long, id long, score double")), n)
         return rescore(found, queries, self.rows, k, self.params["metric"]) if params["rerank"] else found
 
+    def _insert(self, rows: DataFrame) -> None:
+        self.rows = self.rows.unionByName(rows)
+        vectors = rows.select("id", "embedding")
+        self.codes = self.codes.unionByName(written(self._encoded(with_list(vectors, self.centers) if hasattr(self, "centers") else vectors)))
+
     def stats(self) -> DataFrame:
         n = self.codes.count()
         return self._figures(rows=n, index_bytes=self.books.size * 4 + n * self.params["m"])
@@ -167,7 +173,7 @@ class IvfPqIndex(PqIndex):
                     yield pa.RecordBatch.from_arrays([batch["id"], pa.array(r.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
 
         self.books = train_codebooks(train.mapInArrow(residuals, "id long, embedding array<double>"), p["m"], p["iters"], self.seed, p["metric"])
-        self.codes = self._encoded(listed)
+        self.codes = written(self._encoded(listed))
 
     def _candidates(self, block: QueryBlock, k: int, params: dict) -> DataFrame:
         metric = self.params["metric"]

@@ -1,12 +1,15 @@
-"""Scalar (int8) and binary (sign) quantisation with exact rescoring; pure expressions."""
+"""Scalar (int8) and binary (sign) quantisation with exact rescoring.
+
+Codes are expressions; they are scored as full vectors are, partition by partition against blocks of queries.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import dot
-from nearfield.operators.search import QUERY_BLOCK_BYTES, best_rows, rescore
+from nearfield.operators.search import QueryBlock, TopK, best_rows, query_blocks, rescore, scan, union, vectors_of
 
 
 def scalar_codes(rows: DataFrame, scale: float = 127.0) -> DataFrame:
@@ -25,8 +28,15 @@ def quantized_search(queries: DataFrame, corpus: DataFrame, k: int, kind: str =
     if kind not in ("scalar", "binary"):
         raise ValueError("kind is scalar or binary")
     code = scalar_codes if kind == "scalar" else sign_codes
-    q = code(queries.select(F.col("qid").alias("id"), "embedding")).select(F.col("id").alias("qid"), F.col("code").alias("qcode"))
-    count, width = q.agg(F.count("*"), F.coalesce(F.max(F.size("qcode")), F.lit(0))).first()
-    small = count * max(1, width) * 8 <= QUERY_BLOCK_BYTES
-    pairs = code(corpus).crossJoin(F.broadcast(q) if small else q).select("qid", "id", dot("qcode", "code").alias("score"))
-    return rescore(best_rows(pairs, k * oversample), queries, corpus, k)
+    asked = code(queries.select(F.col("qid").alias("id"), "embedding")).select(F.col("id").alias("qid"), F.col("code").alias("embedding"))
+    coded, n = code(corpus), k * oversample
+
+    def score_rows(q: QueryBlock, batch: pa.RecordBatch, top: TopK) -> None:
+        # Sums of products of whole numbers are exact in doubles.
+        scores = q.vectors @ vectors_of(batch["code"]).T
+        for i in range(len(q.qids)):
+            top.add(i, batch["id"].to_numpy(), scores[i])
+
+    parts = [scan(coded, ["id", "code"], b, n, score_rows) for b in query_blocks(asked)]
+    rough = best_rows(union(parts, corpus.sparkSession.createDataFrame([], "qid long, id long, score double")), n)
+    return rescore(rough, queries, corpus, k)
