@@ -31,6 +31,11 @@ def latency(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
     return got.select(*by, F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p90_ms"), F.col("p")[2].alias("p99_ms"), "mean_ms", "qps")
 
 
+def mean_if_whole(value: Column) -> Column:
+    """The mean of a counter, null where any row lacks it."""
+    return F.when(F.count(value) == F.count("*"), F.avg(value))
+
+
 def deleted_returned(results: DataFrame, deleted: DataFrame) -> DataFrame:
     """How many returned ids are deleted ones."""
     return results.join(deleted.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("deleted_returned"))

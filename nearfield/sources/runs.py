@@ -39,6 +39,18 @@ def problems(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", F.explode(listed).alias("problem"))
 
 
+#: Names under which runs of a mode keep figures, in ``extra`` or, for the last ones, among the search parameters.
+MODE_FIGURES = ("clients", "cpu_pct", "errors", "insert_rate", "inserted_rows", "delete_s", "update_s", "compact_s", "hit_rate", "p50_hit_ms", "p50_miss_ms")
+MODE_SETTINGS = ("phase", "deleted", "updated", "compacted", "backend", "capacity", "workload", "invalidate_at")
+
+
+def mode_columns(runs: DataFrame) -> DataFrame:
+    """run_id, setting (number of the search) and the figures and settings of load, change and cache runs; null where absent."""
+    per = runs.select("run_id", F.posexplode("searches").alias("setting", "s"))
+    figures = [F.try_element_at("s.extra", F.lit(c)).cast("double").alias(c) for c in MODE_FIGURES]
+    return per.select("run_id", "setting", *figures, *[F.try_element_at("s.search_params", F.lit(c)).alias(c) for c in MODE_SETTINGS])
+
+
 def results_table(summary: DataFrame) -> DataFrame:
     """Summaries in report order: index, then best recall, then least latency."""
     return summary.orderBy(F.asc("index"), F.desc("recall"), F.asc("p50_ms"))
@@ -49,9 +61,11 @@ def write_csv(summary: DataFrame, path: str) -> None:
     results_table(flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(summary: DataFrame, columns: list[str], most: int = 1000) -> str:
-    """A report table of at most ``most`` rows."""
-    rows = results_table(summary).select(*columns).limit(most).collect()
+def markdown(summary: DataFrame, columns: list[str], most: int = 100_000) -> str:
+    """A report table. Reports have a row for each run; more than ``most`` are an error."""
+    rows = results_table(summary).select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report table has at most {most} rows")
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
     return "\n".join(lines + ["| " + " | ".join(_shown(x) for x in r) + " |" for r in rows])
 

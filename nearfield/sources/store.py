@@ -12,8 +12,9 @@ from nearfield.operators.base import Index
 from nearfield.operators.flat import FlatIndex
 from nearfield.operators.hnsw import HnswIndex
 from nearfield.operators.ivf import IvfIndex
+from nearfield.operators.pq import IvfPqIndex, PqIndex
 
-KINDS = {c.name: c for c in (FlatIndex, IvfIndex, HnswIndex)}
+KINDS = {c.name: c for c in (FlatIndex, IvfIndex, HnswIndex, PqIndex, IvfPqIndex)}
 
 
 def save(index: Index, path: str) -> None:
@@ -24,7 +25,11 @@ def save(index: Index, path: str) -> None:
     rows = index.rows
     width = rows.select(F.size("embedding")).first()
     rows.write.mode("overwrite").partitionBy(*(["list_id"] if index.name == "ivf" else [])).parquet(f"{path}/rows")
-    if index.name == "ivf":
+    if index.name in ("pq", "ivf_pq"):
+        words = [(j, i, c.tolist()) for j, book in enumerate(index.books) for i, c in enumerate(book)]
+        spark.createDataFrame(words, "part int, word int, v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/books")
+        index.codes.write.mode("overwrite").parquet(f"{path}/codes")
+    if hasattr(index, "centers"):
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.centers)], "list_id int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
     if index.name == "hnsw":
         index.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -47,7 +52,12 @@ def load(spark: SparkSession, path: str, name: str, dim: int, **params) -> Index
     index.rows = spark.read.parquet(f"{path}/rows")
     if name == "ivf":
         index.rows = index.rows.withColumn("list_id", F.col("list_id").cast("int"))
+    if name in ("ivf", "ivf_pq"):
         index.centers = np.array([r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("list_id").collect()])
+    if name in ("pq", "ivf_pq"):
+        words = spark.read.parquet(f"{path}/books").orderBy("part", "word").collect()
+        index.books = np.array([r["v"] for r in words]).reshape(words[-1]["part"] + 1, words[-1]["word"] + 1, -1)
+        index.codes = spark.read.parquet(f"{path}/codes")
     if name == "hnsw":
         index.nodes = spark.read.parquet(f"{path}/nodes")
     deleted = spark.read.parquet(f"{path}/deleted")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nearfield.functions.vectors import norm, normalize
+from nearfield.functions.vectors import dot, norm, normalize
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,19 @@ def prepared(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.withColumn(column, normalize(column))
 
 
-def verified(corpus: DataFrame, queries: DataFrame, truth: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """check and ok: the properties that searches rely on."""
+def full_sort(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """qid, rank and id by plain expressions: every row scored and sorted. For a few queries, to check other searches."""
+    pairs = corpus.select("id", "embedding").crossJoin(F.broadcast(queries.select("qid", F.col("embedding").alias("q"))))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
+    scored = pairs.select("qid", "id", dot("q", "embedding").alias("score")).withColumn("rank", F.row_number().over(order))
+    return scored.where(F.col("rank") <= k).select("qid", "rank", "id")
+
+
+def verified(corpus: DataFrame, queries: DataFrame, truth: DataFrame | None = None, k: int = 10, sorted_queries: int = 5) -> DataFrame:
+    """check and ok: the properties that searches rely on.
+
+    The truth of ``sorted_queries`` queries is held against a full sort.
+    """
 
     def one(rows: DataFrame, name: str, ok: Column) -> DataFrame:
         return rows.agg(F.coalesce(ok, F.lit(True)).alias("ok")).select(F.lit(name).alias("check"), "ok")
@@ -41,6 +53,10 @@ def verified(corpus: DataFrame, queries: DataFrame, truth: DataFrame | None = No
         per = truth.groupBy("qid").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"))
         checks.append(one(per, "truth has k rows a query", F.min("n") == k))
         checks.append(one(per, "truth ids are unique in a query", F.bool_and(F.col("n") == F.col("d"))))
+        few = queries.orderBy("qid").limit(sorted_queries)
+        wanted = full_sort(few, corpus, k).withColumn("sorted", F.lit(True))
+        both = wanted.join(truth.join(few.select("qid"), "qid", "left_semi").select("qid", "rank", "id", F.lit(True).alias("given")), ["qid", "rank", "id"], "full")
+        checks.append(one(both, "truth is a full sort", F.bool_and(F.col("sorted").isNotNull() & F.col("given").isNotNull())))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)

@@ -142,6 +142,38 @@ def test_hnsw(spark, data, tmp_path):
         assert recall(ids(index.search(q, ef=n)), left) == 1.0
 
 
+def test_built_once(spark, data):
+    """What a build worked out is written: searches read it, and hold no step of a build."""
+    q, c = data
+    indexes = [IvfIndex.build(c, nlist=8), PqIndex.build(c, m=8, iters=2), IvfPqIndex.build(c, nlist=8, m=8, iters=2), HnswIndex.build(c, m=8, ef_construct=20), DiskAnnIndex.build(c, r=8, l_build=20, pq_m=8)]
+    for index in indexes:
+        for name in ("nodes", "codes", "rows" if index.name == "ivf" else "codes"):
+            if hasattr(index, name):
+                plan = getattr(index, name)._jdf.queryExecution().optimizedPlan().toString()
+                assert "Relation" in plan and "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("kind", ["flat", "ivf", "pq", "ivf_pq", "hnsw"])
+def test_insert(spark, data, kind, tmp_path):
+    """Inserted rows are found by searches and survive saving; known ids are refused."""
+    q, c = data
+    build = {"flat": FlatIndex.build, "ivf": lambda r: IvfIndex.build(r, nlist=8), "pq": lambda r: PqIndex.build(r, m=8, iters=3), "ivf_pq": lambda r: IvfPqIndex.build(r, nlist=8, m=8, iters=3), "hnsw": lambda r: HnswIndex.build(r, m=8, ef_construct=40, shards=2)}
+    wide = {"flat": {}, "ivf": {"nprobe": 8}, "pq": {"rerank": 500}, "ivf_pq": {"nprobe": 8, "rerank": 500}, "hnsw": {"ef": 500}}
+    odd = c.where("id % 3 = 1")
+    index = build[kind](c.where("id % 3 <> 1"))
+    index.insert(odd)
+    assert ids(index.search(q, **wide[kind])) == brute(data)
+    with pytest.raises(ValueError):
+        index.insert(odd.limit(1))
+    save(index, str(tmp_path / kind))
+    assert ids(load(spark, str(tmp_path / kind), kind, 64).search(q, **wide[kind])) == brute(data)
+
+
+def test_no_insert(data):
+    with pytest.raises(ValueError):
+        DiskAnnIndex.build(data[1], r=8, l_build=20, pq_m=8).insert(data[1].limit(1))
+
+
 def test_graphs_reach_all():
     x = np.random.default_rng(1).normal(size=(300, 8))
     x = np.concatenate([x, x[:40]]) / np.linalg.norm(np.concatenate([x, x[:40]]), axis=1, keepdims=True)

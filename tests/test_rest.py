@@ -111,7 +111,7 @@ def test_grid():
         grid.check_flags("flat", delete="del10", update="upd10")
 
 
-@pytest.mark.parametrize("name", ["flat_topk", "filter_thresholds", "flat_after_update", "cache_lru_hits", "zipf_workload", "sampled_subset", "binary_quantized_search"])
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf_dir, name):
     import duckdb
 
@@ -121,7 +121,7 @@ def test_sql(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     said = c.sql(SQL[name])
     assert sorted(said.columns) == sorted(got.columns)
-    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, said.project(", ".join(got.columns)).fetchall()))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, said.project(", ".join(f'"{x}"' for x in got.columns)).fetchall()))
 
 
 def test_entry(spark):
@@ -129,6 +129,21 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["qid", "rank", "id", "score"]
 
 
+def test_parameters():
+    known = {"a": 1, "b": "x"}
+    assert grid.parameters(["a=2,b=2.5", "b=on"], known) == {"a": 2, "b": "on"} and known["a"] == 1
+    for bad in ("a", "a=", "c=1"):
+        with pytest.raises(ValueError):
+            grid.parameters([bad], known)
+
+
+def test_counts_above_lru(spark):
+    requests = spark.createDataFrame([(i, str(i % 5)) for i in range(100)], "request_id long, key string")
+    for chunk in (7, 1000):
+        hits = cache.lru_hits(requests, 5, chunk)
+        assert (hits.count(), hits.where("hit").count(), cache.hit_rate(hits).first()["hits"]) == (100, 95, 95)
+
+
 def test_load():
     from nearfield.plans.load import closed_loop
 
