@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, language_id, line_dedup, minhash_dedup, sentencepiece_sampling
-from nearfield.llm.common import materialise, table
+from nearfield.llm.common import discard, materialise, table
 from nearfield.llm.queries import tokenizer_path
 
 #: Words of a shingle, and the similarity in percent, from which documents count as near copies.
@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        new: list[str] = []
+        docs = materialise(stage(spark, docs, sf_dir), new)
+        discard(spark, last)  # the stage before is no longer read
+        last = new
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.sources.scratch import discard, shared_dir
+from nearfield.sources.scratch import written as materialise
+
+__all__ = ["discard", "materialise", "partitions_for", "shared_dir", "slices", "table", "words_column", "words_of"]
+
 # The ASCII code points that separate words. All other code points are word characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: The same, one by one: Java looks single characters up in a table, but tries ranges in turn.
@@ -33,44 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors can reach.
-
-    It lies in ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="nearfield-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/nearfield-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Write a frame to the shared folder and read it again, which cuts its lineage.
-
-    The path is appended to ``keep``, so that the caller can drop it with ``discard``.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that were written by ``materialise`` and are no longer read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-    paths.clear()
-
-
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

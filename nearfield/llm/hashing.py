@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 
+from nearfield.functions.random import SplitMix64
+
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+_BASE = SplitMix64.GAMMA
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    """The finaliser of SplitMix64."""
+    x = (x ^ (x >> _U(30))) * _U(SplitMix64.MIX1)
+    x = (x ^ (x >> _U(27))) * _U(SplitMix64.MIX2)
     return x ^ (x >> _U(31))
 
 

@@ -227,7 +227,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
 
     Of more than ``LANGS`` languages those with the most documents are learned.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     counts = {r["lang"]: max(1, r["n"]) for r in ids.orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     usable = labelled.where(F.col("text").rlike(r"\p{L}"))

@@ -199,6 +199,26 @@ def test_pipeline(spark, sf_dir):
     assert set(pieces) == set(clean) and all(r["decoded"] for r in pieces.values())
 
 
+def test_pipeline_odd_rows(spark, sf_dir, tmp_path):
+    """Every stage puts up with nulls, empty and very long texts, repeated rows, clashing columns and an empty table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    english = docs.where("lang = 'en'").orderBy("doc_id").limit(3).collect()
+    long = "\n".join(f"{english[0]['text']} {i}" for i in range(400))
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. " * 4
+    extra = [(None, english[1]["text"] + " without an id"), (-1, None), (-2, ""), (-3, " \n\t"), (-4, long), (-5, russian), (-6, "½ ① Ⅷ"), (-7, english[2]["text"]), (-7, english[2]["text"]), (-8, long)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in extra], docs.schema).unionByName(docs)
+    clashing = odd.select("*", *[F.lit(1).alias(c) for c in ("rejected", "row", "n_lines", "gone", "component_id", "bands", "starts", "items", "ids", "score", "d", "h")])
+    steps = [clashing]
+    for name, stage in corpus_pipeline.STAGES:
+        steps.append(materialise(stage(spark, steps[-1], sf_dir)))
+        assert name == "sentencepiece_encoding" or steps[-1].columns == clashing.columns
+        assert stage(spark, clashing.limit(0), sf_dir).count() == 0
+    ids = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in steps]
+    assert ids[0] - ids[1] == {-1, -2, -3, -5, -6}  # without letters, or in a language that was not learned
+    assert -4 not in ids[2] and {-8, None} <= ids[2]  # a later copy has lost all its lines
+    assert steps[3].where("doc_id = -7").count() <= 1 and ids[4] == ids[5]
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, sf_dir, name):
     import duckdb
