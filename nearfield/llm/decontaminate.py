@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD, words_of
+from nearfield.llm.common import WORD, discard, materialise, words_of
 
 WINDOW = 10
 #: Words of items in one automaton (some 400 bytes a word); more items mean more passes.
@@ -146,19 +146,19 @@ class SuffixAutomaton:
         return starts, ends, items
 
 
-def _groups(items: DataFrame, max_words: int) -> list[list[tuple[int, list[bytes]]]]:
-    """Items with words, in groups of at most ``max_words`` words (or one item)."""
-    groups, size = [[]], 0
+def _groups(items: DataFrame, max_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items with words, in groups of at most ``max_words`` words (or one item); only one group is held at a time."""
+    group, size = [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     for item, text in rows.toLocalIterator():
         words = words_of(text)
-        if groups[-1] and size + len(words) > max_words:
-            groups.append([])
-            size = 0
+        if group and size + len(words) > max_words:
+            yield group
+            group, size = [], 0
         if words:
-            groups[-1].append((item, words))
+            group.append((item, words))
             size += len(words)
-    return [g for g in groups if g] or [[]]
+    yield group
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
@@ -176,11 +176,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 
 def _passes(docs: DataFrame, items: DataFrame, window: int, max_words: int) -> DataFrame:
-    """``docs`` with n_words, starts, ends and items; each group of items makes a pass and adds its hits."""
+    """``docs`` with n_words, starts, ends and items; each group of items makes a pass and adds its hits.
+
+    A pass is written before the next one, so no task and not the driver holds more than one automaton.
+    """
     none = F.array().cast("array<int>")
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "starts": none, "ends": none, "items": F.array().cast("array<long>")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for group in _groups(items, max_words):
+    groups = _groups(items, max_words)
+    group, old = next(groups), []
+    while group is not None:
         model = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton.of(group, window))
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
@@ -197,7 +202,13 @@ def _passes(docs: DataFrame, items: DataFrame, window: int, max_words: int) -> D
                     [pa.array(cols[f.name], f.type) if f.name in cols else batch[f.name] for f in batch.schema], schema=batch.schema
                 )
 
-        out = out.mapInArrow(run, schema)
+        out, group = out.mapInArrow(run, schema), next(groups, None)
+        if group is not None:
+            new: list[str] = []
+            out = materialise(out, new)
+            model.destroy()
+            discard(docs.sparkSession, old)
+            old = new
     return out
 
 

@@ -473,3 +473,54 @@ def test_sampling_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all(r["decoded"] for r in got)
     assert [len(r["ids"]) for r in got if r["doc_id"] in (1, 2)] == [0, 0]
     assert sampling.sample_documents(empty, tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def test_token_files_prune(spark, tmp_path):
+    """A reader skips row groups by the Bloom filter on doc_id, within the range of ids that a file has."""
+    docs = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    path = token_store.write_tokens(docs, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
+
+    def read(ids):
+        found = token_store.lookup(spark, path, ids)
+        rows = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return [r["doc_id"] for r in rows], leaf.metrics().apply("numOutputRows").value()
+
+    assert read([5000]) == ([5000], 1000)  # one row group of ORC's 1,000 rows
+    assert sum(read([i])[1] for i in range(5001, 5041, 2)) <= 2000  # of 20 absent ids nearly none reads any
+    stripes = [jvm_reader(spark, f) for f in tmp_path.glob("t/*.orc")]
+    assert all(kind == "ZSTD" and stride == 1000 for kind, stride in stripes) and stripes
+
+
+def jvm_reader(spark, path):
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(path)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    return reader.getCompressionKind().toString(), reader.getRowIndexStride()
+
+
+@given(st.lists(st.sampled_from(["a", "b", "cc", "\u00e9"]), max_size=40).map(" ".join))
+@settings(max_examples=60, deadline=None)
+def test_order_minhash_plain(text):
+    """The fingerprint by plain loops over occurrence-numbered k-mers."""
+    from nearfield.llm.hashing import kmers, mix, odd
+
+    hashes = [int(h) for h in kmers([text], order_minhash.K, order_minhash.BLANKS)[0]]
+    mask, seen, own = (1 << 64) - 1, {}, []
+    one = lambda x: int(mix(np.array([x & mask], np.uint64))[0])
+    for h in hashes:
+        seen[h] = seen.get(h, -1) + 1
+        own.append((h + one(seen[h])) & mask if seen[h] else h)
+    want = []
+    for c in (int(x) for x in odd(order_minhash.HASHES, 11)):
+        keys = []
+        for x in own:
+            y = x * c & mask
+            keys.append(((y ^ (y >> 29)) * c & mask) >> 32)
+        least = sorted(range(len(own)), key=lambda i: (keys[i], i))[: order_minhash.TUPLE]
+        if not least:
+            want.append(0)
+            continue
+        a, b = min(least), max(least)
+        want.append(one((hashes[a] * 3 & mask) + one(hashes[b]) + c) >> 48)
+    assert order_minhash.fingerprints([text])[0].tolist() == want
