@@ -28,6 +28,8 @@ BITS = 15
 #: Hash bits of the n-grams that training texts have.
 SEEN_BITS = 24
 ORDERS = (3, 4)
+#: Bytes of text whose n-grams are held at a time.
+BLOCK = 1 << 17
 DIM = 16
 EPOCHS = 10
 RATE = 1.0
@@ -59,27 +61,46 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def _buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all texts, order by order, with each text's first and last for each order, and whether an n-gram has no digit."""
-    pieces = [b" " + t.lower().encode("utf-8", "replace") + b"    " for t in texts]
-    ends = np.cumsum([len(p) for p in pieces])
-    starts = ends - [len(p) for p in pieces]
-    raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint32)
+def _piece(text: str) -> bytes:
+    return b" " + text.lower().encode("utf-8", "replace") + b"    "
+
+
+def _grams(raw: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of SEEN_BITS of all n-grams of some bytes, and whether they have no digit."""
+    raw = raw.astype(np.uint32)
+    n = max(0, len(raw) - order + 1)
+    h, digits = raw[:n] * np.uint32(0x9E3779B1) if order == 3 else np.full(n, order, np.uint32), np.zeros(n, bool)
     digit = (raw >= 48) & (raw <= 57)
-    out, plain, lows, highs, at = [], [], [], [], 0
-    for order in ORDERS:
-        h = np.full(max(0, len(raw) - order + 1), order, np.uint32)
-        has = np.zeros(len(h), bool)
-        for k in range(order):
-            h = (h ^ raw[k : k + len(h)]) * np.uint32(0x01000193) if order != 3 or k else raw[: len(h)] * np.uint32(0x9E3779B1)
-            has |= digit[k : k + len(h)]
-        h = (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-        out.append(h)
-        plain.append(~has)
-        lows.append(starts + at)
-        highs.append(ends - order + 1 + at)
-        at += len(h)
-    return np.concatenate(out), np.stack(lows), np.stack(highs), np.concatenate(plain)
+    for k in range(order):
+        if order != 3 or k:
+            h = (h ^ raw[k : k + n]) * np.uint32(0x01000193)
+        digits |= digit[k : k + n]
+    return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SEEN_BITS), ~digits
+
+
+def _blocks(pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the first text, bytes, and first and last (exclusive) byte of each text, in parts of ``BLOCK`` bytes.
+
+    A part holds whole texts, or a stretch of one longer text with the bytes that its last n-grams reach into; so
+    a text's sums depend on nothing else.
+    """
+    at = 0
+    while at < len(pieces):
+        if len(pieces[at]) > BLOCK:
+            raw = np.frombuffer(pieces[at], np.uint8)
+            for a in range(0, len(raw), BLOCK):
+                part = raw[a : a + BLOCK + max(ORDERS) - 1]
+                yield at, part, np.array([0]), np.array([min(BLOCK, len(raw) - a)])
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(pieces) and size + len(pieces[end]) <= BLOCK:
+            size += len(pieces[end])
+            end += 1
+        ends = np.cumsum([len(x) for x in pieces[at:end]])
+        raw = b"".join(pieces[at:end]) + bytes(max(ORDERS) - 1)
+        yield at, np.frombuffer(raw, np.uint8), np.concatenate(([0], ends[:-1])), ends
+        at = end
 
 
 @dataclass
@@ -97,13 +118,24 @@ class LanguageModel:
         """Scores (text, language), the share of each text's n-grams without digits that training texts have, and its place in LENGTHS."""
         if not texts:
             return np.zeros((0, len(self.langs))), np.zeros(0), np.zeros(0, int)
-        h, lows, highs, plain = _buckets(texts, SEEN_BITS)
-        joined = np.column_stack([self.table[h >> np.uint32(SEEN_BITS - self.bits)], plain & self.seen[h], plain])
-        total, n = np.zeros((len(texts), joined.shape[1])), np.zeros(len(texts))
-        joined = np.concatenate([joined, np.zeros((1, joined.shape[1]))])
-        for low, high in zip(lows, highs, strict=True):
-            total += np.add.reduceat(joined, np.stack([low, high], 1).ravel(), axis=0)[::2]
-            n += high - low
+        pieces = [_piece(t) for t in texts]
+        width = len(self.langs)
+        total, n = np.zeros((len(texts), width + 2)), np.zeros(len(texts))
+        for first, raw, starts, ends in _blocks(pieces):
+            here = slice(first, first + len(starts))
+            for order in ORDERS:
+                h, plain = (x[: ends[-1]] for x in _grams(raw, order))
+                good = None  # a stretch of a longer text
+                if len(pieces[first]) <= BLOCK:
+                    good = np.arange(len(h)) + order <= np.repeat(ends, ends - starts)  # not across the end of a text
+                values = np.empty((len(h), width + 2))
+                values[:, :width], values[:, width], values[:, width + 1] = self.table[h >> np.uint32(SEEN_BITS - self.bits)], plain & self.seen[h], plain
+                if good is not None:
+                    values[~good] = 0.0
+                if len(h):
+                    total[here] += np.add.reduceat(values, starts, axis=0)
+        for order in ORDERS:
+            n += np.array([len(x) - order + 1 for x in pieces])
         known, of = total[:, -2], total[:, -1]  # each text has blanks at its end, so ``of`` is not 0
         return total[:, :-2] / n[:, None] + self.bias, known / of, np.searchsorted(LENGTHS, of, "right") - 1
 
@@ -142,8 +174,8 @@ def fit(rows: list[tuple[str, str]], bits: int = BITS, seed: int = 1) -> Languag
     counts = np.zeros(1 << SEEN_BITS, np.uint8)  # up to 3
     features = []
     for text, lang in train:
-        h, lows, highs, _ = _buckets([text], SEEN_BITS)
-        h = np.concatenate([h[a:b] for a, b in zip(lows[:, 0], highs[:, 0], strict=True)])
+        raw = np.frombuffer(_piece(text), np.uint8)
+        h = np.concatenate([_grams(raw, order)[0] for order in ORDERS])
         idx, count = np.unique(h, return_counts=True)
         counts[idx] = np.minimum(counts[idx] + np.minimum(count, 3), 3)
         idx, count = np.unique(h >> np.uint32(SEEN_BITS - bits), return_counts=True)

@@ -371,6 +371,18 @@ def test_language_calibration(spark):
     assert rejected == [True] and scores[0] < 0.5
 
 
+def test_language_blocks(monkeypatch):
+    """Scores are the same however texts are cut into blocks, and beside whatever other texts."""
+    model = language_id.fit([("the one of them and the other", "en"), ("der eine von ihnen und der andere", "de")] * 3)
+    texts = ["the", "der eine " * 50, "x1y2 " * 40, "é", "a" * 63, "one of them", "Ω" * 200]
+    whole = model.logits(texts)
+    for k, t in enumerate(texts):
+        assert all(np.array_equal(a[0], b[k]) for a, b in zip(model.logits([t]), whole, strict=True))
+    for block in (5, 64, 65):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert all(np.allclose(a, b) for a, b in zip(model.logits(texts), whole, strict=True))
+
+
 def test_language_repeated_id(spark):
     """An id in very many rows takes no training rows from other languages."""
     rows = [(0, f"the one of them {i}", "en") for i in range(3000)] + [(i, f"der eine von ihnen {i}", "de") for i in range(1, 40)]
