@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.sources.scratch import discard, shared_dir
 from nearfield.sources.scratch import written as materialise
 
-__all__ = ["discard", "materialise", "partitions_for", "shared_dir", "slices", "table", "words_column", "words_of"]
+__all__ = ["discard", "materialise", "partitions_for", "shared_dir", "slices", "table", "tidy", "words_column", "words_of"]
 
 # The ASCII code points that separate words. All other code points are word characters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -50,6 +51,20 @@ def words_column(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(low, F.lit("")), SEPARATOR_TABLE + "+"), "")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives unused memory back; workers stay for later tasks and stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some ``most`` bytes of text each."""
     n = np.array([x or 0 for x in pc.binary_length(batch[column]).to_pylist()])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD, discard, materialise, words_of
+from nearfield.llm.common import WORD, discard, materialise, tidy, words_of
 
 WINDOW = 10
 #: Words of items in one automaton (some 400 bytes a word); more items mean more passes.
@@ -202,7 +202,7 @@ def _passes(docs: DataFrame, items: DataFrame, window: int, max_words: int) -> D
                     [pa.array(cols[f.name], f.type) if f.name in cols else batch[f.name] for f in batch.schema], schema=batch.schema
                 )
 
-        out, group = out.mapInArrow(run, schema), next(groups, None)
+        out, group = out.mapInArrow(tidy(run), schema), next(groups, None)
         if group is not None:
             new: list[str] = []
             out = materialise(out, new)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import slices
+from nearfield.llm.common import slices, tidy
 
 #: Bounds of one log odds, and what is added to each count.
 LEAST, MOST, SMOOTH = -3.0, 1.0, 0.2
@@ -271,4 +271,4 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import slices
+from nearfield.llm.common import slices, tidy
 
 BITS = 15
 #: Hash bits of the n-grams that training texts have.
@@ -41,8 +41,8 @@ TRAIN_ROWS = 2000
 REJECT_SHARE = 0.001
 #: The thresholds stay so far under what calibration rows show.
 MARGIN = 0.8
-#: No text with known n-grams is rejected whose best language is more likely than not.
-DOUBT = 0.5
+#: No text with known n-grams is rejected whose best language has this probability; one in two languages has half for each.
+DOUBT = 0.4
 #: Numbers of n-grams from which a text has thresholds of its own.
 LENGTHS = (0, 64, 256, 1024, 4096)
 #: A length with fewer calibration rows has no stricter thresholds than the next shorter one.
@@ -288,14 +288,16 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "rejected")
-    out = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    out = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"))
+    place = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            texts = batch["row"].field(place).cast(pa.string())
+            for part in slices(pa.RecordBatch.from_arrays([batch["row"], texts], names=["row", "text"])):
                 langs, scores, rejected = shared.value.predict(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     schema = StructType([out.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    return out.mapInArrow(run, schema).select("row.*", "lang_pred", "score", "rejected")
+    return out.mapInArrow(tidy(run), schema).select("row.*", "lang_pred", "score", "rejected")
 

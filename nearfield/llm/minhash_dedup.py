@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import discard, materialise, slices
+from nearfield.llm.common import discard, materialise, slices, tidy
 from nearfield.llm.hashing import kmers, mix, odd
 
 SHINGLE = 4
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     names=["doc_id", "n_shingles", "ka", "kb", "bands", "sig"],
                 )
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.mapInArrow(tidy(run), _SKETCH)
 
 
 def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -136,7 +136,7 @@ def _survivors(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     sig = reps.select("rep", "sig")
     rows = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     rows = rows.join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(run, "a long, b long, m long")
+    return rows.mapInArrow(tidy(run), "a long, b long, m long")
 
 
 def select_rows(rows: DataFrame, ids: DataFrame, how: str, n_ids: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, paths
 
     rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
@@ -313,7 +313,7 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int,
                 columns = [np.repeat(x, count)[first] for x in (part["doc_id"].to_numpy(zero_copy_only=False), key.view(np.int64), n)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hashes[first].view(np.int64))], names=["doc_id", "t", "size", "s"])
 
-    each = materialise(texts.mapInArrow(run, "doc_id long, t long, size long, s long"), paths)
+    each = materialise(texts.mapInArrow(tidy(run), "doc_id long, t long, size long, s long"), paths)
     held = each.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
     sets = each.join(held, "s").groupBy("doc_id", "t", "size").agg(F.array_sort(F.collect_list(F.struct("held", "s")))["s"].alias("l"))
     # A set's shingles that no other has come first; they take places, but find nobody.

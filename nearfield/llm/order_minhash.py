@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import materialise, partitions_for, slices
+from nearfield.llm.common import materialise, partitions_for, slices, tidy
 from nearfield.llm.hashing import kmers, mix, odd
 
 K = 5
@@ -142,11 +142,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
-    found = materialise(rows.repartitionByRange(partitions_for(spark), order[0]).sortWithinPartitions(*order).mapInArrow(_walk, _SCHEMA))
+    found = materialise(rows.repartitionByRange(partitions_for(spark), order[0]).sortWithinPartitions(*order).mapInArrow(tidy(_walk), _SCHEMA))
     # One number for each partition that has rows.
     parts = sorted(r["part"] for r in found.where(F.col("kind") == _HEAD).select("part").collect())
     after = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, head int")
     heads = found.where(F.col("kind") == _HEAD).select(F.col("part").alias("head"), F.col("text").alias("following"))
     ends = found.where(F.col("kind") == _OPEN).select("doc_id", "part", "text")
-    ends = ends.join(after, "part").join(heads, "head").select("doc_id", "text", "following").mapInArrow(_pairs, _SCHEMA)
+    ends = ends.join(after, "part").join(heads, "head").select("doc_id", "text", "following").mapInArrow(tidy(_pairs), _SCHEMA)
     return found.where(F.col("kind") == _DONE).select(*_ROW).unionByName(ends.select(*_ROW))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import slices
+from nearfield.llm.common import slices, tidy
 from nearfield.llm.hashing import mix, span_hashes
 
 ALPHA = 1.0
@@ -435,4 +435,4 @@ def sample_documents(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(offsets, inner), *floats, pa.array(right)], names=["doc_id", "ids", "log_prob", "gumbel", "inclusion", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(tidy(run), _SCHEMA)

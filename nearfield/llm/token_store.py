@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.llm.common import partitions_for
+from nearfield.llm.common import partitions_for, tidy
 
 END_ID = 1
 #: Words that a worker remembers the ids of.
@@ -131,7 +131,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFr
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, tokens array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> str:
@@ -171,7 +171,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             n = np.diff(offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["part"], batch["place"], pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).select("doc_id", "part", "place", "tokens").mapInArrow(crcs, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).select("doc_id", "part", "place", "tokens").mapInArrow(tidy(crcs), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     # One number for each file.
     sums = {r["part"]: r["n"] for r in read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
     before, total = {}, 0
