@@ -18,6 +18,8 @@ from nearfield.llm.queries import tokenizer_path
 
 #: Words of a shingle, and the similarity in percent, from which documents count as near copies.
 SHINGLE, PERCENT = 5, 80
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and read again."""
+    """Apply the stages to ``documents``; each result is written as Parquet and read again.
+
+    Whole texts go to Python workers, so the session's Arrow batches are set to at most ``BATCH_ROWS`` rows: both
+    sides of each worker hold a batch or two.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, BATCH_ROWS)
     docs, last = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         new: list[str] = []

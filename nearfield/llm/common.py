@@ -65,7 +65,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with some ``most`` bytes of text each."""
     n = np.array([x or 0 for x in pc.binary_length(batch[column]).to_pylist()])
     part = np.cumsum(n) // most

@@ -27,7 +27,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         inverse = pow(_BASE, -1, 1 << 64)
         ones = np.full(n, _BASE, _U), np.full(n, inverse, _U)
         _POWERS[:] = [np.cumprod(o) for o in ones]
