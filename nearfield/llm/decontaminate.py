@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,34 +174,43 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return hits.select("doc_id", "n_words", total.alias("n_hit"), "starts", "ends", "items")
 
 
-def _passes(docs: DataFrame, items: DataFrame, window: int, max_words: int) -> DataFrame:
+def _passes(docs: DataFrame, items: DataFrame, window: int, max_words: int, max_coverage: float | None = None) -> DataFrame:
     """``docs`` with n_words, starts, ends and items; each group of items makes a pass and adds its hits.
 
-    A pass is written before the next one, so no task and not the driver holds more than one automaton.
+    A pass is written before the next one, so no task and not the driver holds more than one automaton. With
+    ``max_coverage`` the last pass also adds the column cut: the text without hit words, where there are any and they
+    are no more than that part of it.
     """
     none = F.array().cast("array<int>")
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "starts": none, "ends": none, "items": F.array().cast("array<long>")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    if max_coverage is not None:
+        out = out.withColumn("cut", F.lit(None).cast("string"))
+    schema = out.schema
     groups = _groups(items, max_words)
     group, old = next(groups), []
     while group is not None:
+        following = next(groups, None)
+        cutting = following is None and max_coverage is not None
         model = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton.of(group, window))
 
-        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], model=model, cutting=cutting) -> Iterator[pa.RecordBatch]:
             automaton = model.value
             for batch in batches:
-                cols = {c: [] for c in ("n_words", "starts", "ends", "items")}
+                cols = {c: [] for c in ("n_words", "starts", "ends", "items", *(["cut"] if cutting else []))}
                 for text, s, e, i in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends", "items")), strict=True):
                     words = words_of(text)
                     starts, ends, found = automaton.hits(words)
                     starts, ends = merged(starts, ends, s, e) if s else (starts, ends)
-                    for c, v in zip(cols, (len(words), starts, ends, sorted({*found, *i} - {None})), strict=True):
+                    for c, v in zip(cols, (len(words), starts, ends, sorted({*found, *i} - {None})), strict=False):
                         cols[c].append(v)
+                    if cutting:
+                        some = 0 < sum(ends) - sum(starts) <= max_coverage * len(words)
+                        cols["cut"].append(cut_words(text, starts, ends) if some else None)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[f.name], f.type) if f.name in cols else batch[f.name] for f in batch.schema], schema=batch.schema
                 )
 
-        out, group = out.mapInArrow(tidy(run), schema), next(groups, None)
+        out, group = out.mapInArrow(tidy(run), schema), following
         if group is not None:
             new: list[str] = []
             out = materialise(out, new)
@@ -246,17 +254,12 @@ def remove_contamination(
     are cut. Documents without hits, and null or empty texts, are unchanged. All columns of ``docs`` are kept,
     whatever their names; n_chars, where it exists, follows a text that was cut.
     """
-    cut = F.pandas_udf(_cut_all, "string")
-    found = _passes(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), items, window, max_words)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = _passes(rows, items, window, max_words, max_coverage)
     size = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0), lambda a, n: a + n)
     found = found.where(size <= max_coverage * F.col("n_words"))
-    found = found.withColumn("text", F.when(F.size("starts") > 0, cut("text", "starts", "ends")).otherwise(F.col("text")))
-    out = found.select("row.*", F.col("text").alias("_cut"), (F.size("starts") > 0).alias("_hit"))
+    out = found.select("row.*", F.coalesce("cut", found["text"]).alias("_cut"), (F.size("starts") > 0).alias("_hit"))
     new = {"text": F.col("_cut").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_hit"), F.length("_cut")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _cut_all(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([cut_words(t, s, e) if t and len(s) else t for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
