@@ -39,6 +39,8 @@ BROADCAST_IDS = 1_000_000
 LARGE = 24
 #: How much larger sets of the next class of sizes are.
 CLASS = 1.05
+#: Shingles of at least so many sets count as frequent, and so many of them at most are sent to the workers.
+FREQUENT, FREQUENT_MOST = 32, 1 << 17
 # The bytes between words.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -287,6 +289,65 @@ def _across(shared: DataFrame, alike: DataFrame, reps: DataFrame, docs: DataFram
     return _linked(_labelled(found, labels), docs, labels, size, percent, paths)
 
 
+def _counted(each: DataFrame) -> DataFrame:
+    """s and held (the number of sets that have it) of the shingles of more than one set; batches are summed first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, np.unique(np.asarray(batch["l"].flatten()), return_counts=True))], names=["s", "n"])
+
+    return each.select("l").mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("held")).where("held > 1")
+
+
+def _frequent(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of (s, held), sorted, and the place of each in the order of (held, s).
+
+    All from a power of two on, the least with which they are no more than ``FREQUENT_MOST``.
+    """
+    often = held.where(F.col("held") >= FREQUENT)
+    least, total = None, 0
+    for level, n in sorted(often.groupBy(F.floor(F.log2("held")).cast("int")).count().collect(), reverse=True):
+        total += n
+        if total > FREQUENT_MOST:
+            break
+        least = 1 << level
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = often.where(F.col("held") >= least).toArrow()
+    s, n = (got[c].to_numpy() for c in ("s", "held"))
+    place = np.empty(len(s), np.int64)
+    place[np.lexsort((s, n))] = np.arange(len(s))
+    by = np.argsort(s)
+    return s[by], place[by]
+
+
+def _parted(each: DataFrame, often: np.ndarray, place: np.ndarray, percent: int) -> DataFrame:
+    """``each`` with its other shingles, the number of its frequent ones, and those of them that a prefix may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = np.asarray(batch["l"].flatten()), batch["l"].offsets.to_numpy()
+            size = np.diff(offsets).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(often, flat), max(0, len(often) - 1))
+            is_often = often[at] == flat if len(often) else np.zeros(len(flat), bool)
+            n_often = np.bincount(row[is_often], minlength=len(size))
+            # No fewer than the places in which a set must share a shingle with sets of the smallest class.
+            smallest = -(-percent * size // 100)
+            most = size - (percent * (size + smallest / CLASS**2) / (100 + percent)).astype(np.int64) + 2
+            r, s = row[is_often], flat[is_often]
+            by = np.lexsort((place[at[is_often]], r))
+            r, s = r[by], s[by]
+            need = np.arange(len(r)) - (np.cumsum(n_often) - n_often)[r] < (most - size + n_often)[r]
+            lists = []
+            for of, values in ((row[~is_often], flat[~is_often]), (r[need], s[need])):
+                ends = np.cumsum(np.bincount(of, minlength=len(size)))
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], batch["size"], lists[0], pa.array(n_often.astype(np.int64)), lists[1]], names=["doc_id", "t", "size", "others", "n_often", "often"])
+
+    return each.mapInArrow(tidy(run), "doc_id long, t long, size long, others array<long>, n_often long, often array<long>")
+
+
 def _prefix_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int, paths: list[str]) -> DataFrame:
     """Pairs (x, rep) of ``members`` (rep, comp, minor) that may reach the threshold, of different components, one minor.
 
@@ -294,7 +355,8 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int,
     the first ones of each, so many that what is left would not do; how many that is follows from both sizes, so
     sets are dealt to classes of about equal size, and the larger set of a pair looks into the classes of smaller
     ones. Copies of one text that are no links of each other differ from it by more than that, in shingles that
-    few others have, so the shingles of the text itself, which all have, are not looked at.
+    few others have, so the shingles of the text itself, which all have, are not looked at. They come last in the
+    order, so workers that know them put them there, and only the other shingles are joined with their counts.
     """
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     ids = materialise(ids, paths)
@@ -304,21 +366,28 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, size: int, percent: int,
         for batch in batches:
             for part in slices(batch):
                 hashes, count, first = shingle_sets(part["text"].to_pylist(), size)
-                starts = np.cumsum(count) - count
-                n, key = np.zeros(len(count), np.int64), np.zeros(len(count), _U)
                 rows = np.flatnonzero(count)
+                starts = (np.cumsum(count) - count)[rows]
+                n, key = np.zeros(len(count), np.int64), np.zeros(len(count), _U)
                 if len(rows):
-                    n[rows] = np.add.reduceat(first.astype(np.int64), starts[rows])
-                    key[rows] = np.add.reduceat(mix(hashes + _U(101)) * first.astype(_U), starts[rows])
-                columns = [np.repeat(x, count)[first] for x in (part["doc_id"].to_numpy(zero_copy_only=False), key.view(np.int64), n)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(hashes[first].view(np.int64))], names=["doc_id", "t", "size", "s"])
-
-    each = materialise(texts.mapInArrow(tidy(run), "doc_id long, t long, size long, s long"), paths)
-    held = each.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
-    sets = each.join(held, "s").groupBy("doc_id", "t", "size").agg(F.array_sort(F.collect_list(F.struct("held", "s")))["s"].alias("l"))
+                    n[rows] = np.add.reduceat(first.astype(np.int64), starts)
+                    key[rows] = np.add.reduceat(mix(hashes + _U(101)) * first.astype(_U), starts)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(hashes[first].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(key.view(np.int64)), pa.array(n), sets], names=["doc_id", "t", "size", "l"])
+
+    each = materialise(texts.mapInArrow(tidy(run), "doc_id long, t long, size long, l array<long>").where("size > 0"), paths)
+    own: list[str] = []
+    held = materialise(_counted(each), own)
+    parted = materialise(_parted(each, *_frequent(held), percent), own)
+    others = parted.select("doc_id", "t", F.explode("others").alias("s")).join(held, "s")
+    others = others.groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("held", "s")))["s"].alias("l"))
+    sets = parted.drop("others").join(others, ["doc_id", "t"], "left").withColumn("l", F.coalesce("l", F.array().cast("array<long>")))
     # A set's shingles that no other has come first; they take places, but find nobody.
-    sets = sets.withColumn("own", F.col("size") - F.size("l")).where(100 * F.size("l") >= percent * F.col("size"))
+    sets = sets.withColumn("own", F.col("size") - F.size("l") - F.col("n_often")).where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+    sets = sets.withColumn("l", F.concat("l", "often")).drop("often", "n_often")
     sets = materialise(sets.withColumn("rep", F.col("doc_id")).join(members, "rep"), paths)
+    discard(docs.sparkSession, own)
 
     of = lambda n: F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
     low = lambda c: F.greatest(F.floor(F.pow(F.lit(CLASS), c) - 1e-6), F.lit(1)).cast("long")

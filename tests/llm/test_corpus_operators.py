@@ -91,6 +91,54 @@ def test_prefix_pairs(spark, percent):
     assert len(paths) == 3
 
 
+def rows_of_joins(spark, after):
+    """Most rows that a join has made in the executions after that one, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    each = lambda s: (s.apply(i) for i in range(s.size()))
+    for run in each(store.executionsList()):
+        last = max(last, run.executionId())
+        if run.executionId() > after:
+            values = store.executionMetrics(run.executionId())
+            joins = [n for n in each(store.planGraph(run.executionId()).allNodes()) if "Join" in n.name()]
+            rows = [values.get(m.accumulatorId()) for n in joins for m in each(n.metrics()) if m.name() == "number of output rows"]
+            most = max([most, *(int(v.get().replace(",", "")) for v in rows if v.isDefined())])
+    return most, last
+
+
+def test_prefix_pairs_of_one_text(spark):
+    """The shingles of a text that all members copy are not joined, however many copies there are; no pair is lost."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(150)], {}
+    for i in range(160):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3, 6])):
+            w[at] = word()
+        texts[i] = " ".join(w)
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    for n in (80, 160):
+        docs = spark.createDataFrame([(i, texts[i]) for i in range(n)], "doc_id long, text string")
+        members = materialise(spark.createDataFrame([(i, i, True) for i in range(n)], "rep long, comp long, minor boolean"))
+        before, paths = rows_of_joins(spark, -1)[1], []
+        pairs = minhash_dedup._prefix_pairs(members, docs, 4, 80, paths)
+        assert 0 < rows_of_joins(spark, before)[0] <= 3 * n  # the sets have 147 shingles each
+        found = {(min(r["x"], r["rep"]), max(r["x"], r["rep"])) for r in pairs.collect()}
+        want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        assert want and want <= found
+
+
+def test_frequent_shingles(spark, monkeypatch):
+    """Frequent shingles are bounded in number, and lie in the order of (held, s)."""
+    held = spark.createDataFrame([(i, 20 + i) for i in range(100)], "s long, held long")
+    of = lambda: dict(zip(*(x.tolist() for x in minhash_dedup._frequent(held)), strict=True))
+    assert of() == {s: s - 12 for s in range(12, 100)}  # all of 32 and more
+    monkeypatch.setattr(minhash_dedup, "FREQUENT_MOST", 80)
+    assert of() == {s: s - 44 for s in range(44, 100)}  # 64 and more
+    monkeypatch.setattr(minhash_dedup, "FREQUENT_MOST", 20)
+    assert of() == {}  # those of 64 and more are too many
+
+
 def test_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LARGE", 3)
     texts = near_copies(seed=6)
