@@ -32,11 +32,18 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 
-# In these texts ids of the parts between white space are not known to be the ids of the whole: Python splits
-# at \x1c-\x1f, the tokenizer does not; special tokens can be followed by anything.
-_WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
-# A part that is one word of Latin letters, which the tokenizer lower-cases, and at most one mark after it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]?)")
+# A part that is one word of Latin letters, which the tokenizer lower-cases, between marks, of which it keeps runs
+# together. An apostrophe is no such mark: with letters after it, it is a piece of its own.
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(f"({_MARKS})([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)({_MARKS})")
+
+
+def _is_whole(text: str) -> bool:
+    """Whether ids of the parts between white space are not known to be the ids of the whole.
+
+    Python splits at \\x1c-\\x1f, the tokenizer does not; special tokens can be followed by anything.
+    """
+    return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
 
 
 class WordEncoder:
@@ -66,14 +73,17 @@ class WordEncoder:
 
     def _learn(self, parts: set[str]) -> None:
         """Encode parts: plain words as one text, cut after the ids that end a word; what they build from them; others singly."""
-        plain, rest = [], []
+        cache, plain, marks, rest = self.cache, [], {""}, []
         for part in parts:
             m = _PLAIN.fullmatch(part)
             if m:
-                plain.append((part, m[1].lower(), m[2]))
+                before, word, after = m.groups()
+                plain.append((part, before, word.lower(), after))
+                if before or after:
+                    marks.update((before, after))
             else:
                 rest.append(part)
-        words = list({w for _, w, _ in plain if w not in self.cache})
+        words = list({w for _, _, w, _ in plain if w not in cache})
         for at in range(0, len(words), 8192):
             chunk = words[at : at + 8192]
             texts = [" ".join(chunk[k : k + 512]) for k in range(0, len(chunk), 512)]
@@ -86,25 +96,35 @@ class WordEncoder:
             for word, b in zip(chunk, cuts.tolist(), strict=True):
                 self.cache[word] = raw[a:b]
                 a = b
-        self._learn_each(rest + [m for m in {m for _, _, m in plain if m} if m not in self.cache])
-        for part, word, mark in plain:
-            self.cache[part] = self.cache[word] + (self.cache[mark] if mark else b"")
+        self._learn_each(rest + [m for m in marks if m and m not in cache])
+        of = {m: cache[m] if m else b"" for m in marks}
+        for part, before, word, after in plain:
+            cache[part] = of[before] + cache[word] + of[after]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _WHOLE.search(t) else (t or "").split() for t in texts]
-        new = set()
-        for parts in split:
-            if parts:
-                new.update(parts)
-        known = self.cache
-        new = {p for p in new if p not in known}  # a set's own difference would walk through all that is known
+        known, out, waiting, new = self.cache, [], [], set()
+        for t in texts:
+            if t and _is_whole(t):
+                out.append(self.whole(t))
+                continue
+            parts = (t or "").split()
+            ids = list(map(known.get, parts))  # one look-up a part
+            if None in ids:
+                missing = [i for i, x in enumerate(ids) if x is None]
+                new.update([parts[i] for i in missing])
+                waiting.append((len(out), parts, ids, missing))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if new:
             if len(known) + len(new) > self.cache_words:
-                known.clear()
-                new = {p for parts in split if parts for p in parts}
+                known.clear()  # what these texts had of it is in ``waiting``
             self._learn(new)
-        get = known.__getitem__
-        return [self.whole(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)]
+        for at, parts, ids, missing in waiting:
+            for i in missing:
+                ids[i] = known[parts[i]]
+            out[at] = b"".join(ids)
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -232,6 +232,20 @@ def test_word_encoder(texts):
     assert coder.encode(texts) == [coder.whole(t) for t in texts]
 
 
+def test_word_encoder_marks():
+    """Words between runs of marks are encoded together, and the runs once; a cache that is emptied loses nothing."""
+    coder, singly = token_store.WordEncoder(tokenizer_path("word_bpe_49k.json")), []
+    each = coder._learn_each
+    coder._learn_each = lambda parts: (singly.extend(parts), each(parts))
+    words = [f"{a}{b}{c}" for a in "abcdefgé" for b in ("or", "Is", "um") for c in "stlnm"]
+    texts = [" ".join(f"{a}{w}{b}" for w in words for a, b in [("", "###"), ("(", ")!!"), ('"', "...")]), "it's o'er (262) a-b x@y.z '' don't!"]
+    assert coder.encode(texts) == [coder.whole(t) for t in texts]
+    assert len(singly) <= 12
+    small = token_store.WordEncoder(tokenizer_path("word_bpe_49k.json"), cache_words=30)
+    for batch in (texts[1:], [texts[1] + " new words", *texts, None], texts[1:]):
+        assert small.encode(batch) == [small.whole(t or "") for t in batch]
+
+
 def test_token_files(spark, odd, empty):
     path = token_store.write_tokens(odd, shared_dir(spark), tokenizer_path("word_bpe_49k.json"))
     got = sorted(token_store.token_index(spark, path).collect(), key=lambda r: r["start"])
