@@ -5,11 +5,12 @@ Codes are expressions; they are scored as full vectors are, partition by partiti
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.search import QueryBlock, TopK, best_rows, query_blocks, rescore, scan, union, vectors_of
+from nearfield.operators.search import QueryBlock, TopK, at_least, best_rows, query_blocks, rescore, scan, tiles, union, vectors_of
 
 
 def scalar_codes(rows: DataFrame, scale: float = 127.0) -> DataFrame:
@@ -33,10 +34,12 @@ def quantized_search(queries: DataFrame, corpus: DataFrame, k: int, kind: str =
 
     def score_rows(q: QueryBlock, batch: pa.RecordBatch, top: TopK) -> None:
         # Sums of products of whole numbers are exact in doubles.
-        scores = q.vectors @ vectors_of(batch["code"]).T
-        for i in range(len(q.qids)):
-            top.add(i, batch["id"].to_numpy(), scores[i])
+        ids, codes = batch["id"].to_numpy(), vectors_of(batch["code"])
+        for qs, rs in tiles(len(q.qids), len(ids)):
+            scores = q.vectors[qs] @ codes[rs].T
+            i, j = at_least(scores, top.floors(qs), top.k)
+            top.add(np.arange(len(q.qids))[qs][i], ids[rs][j], scores[i, j])
 
-    parts = [scan(coded, ["id", "code"], b, n, score_rows) for b in query_blocks(asked)]
+    parts = [scan(coded, ["id", "code"], b, n, score_rows) for b in query_blocks(asked, n)]
     rough = best_rows(union(parts, corpus.sparkSession.createDataFrame([], "qid long, id long, score double")), n)
     return rescore(rough, queries, corpus, k)

@@ -200,3 +200,43 @@ def test_tombstones(spark):
     gone = [0, 1, 7, 8, 32767, 32768, 100_000]
     rows = spark.createDataFrame([(i,) for i in gone], "id long")
     assert sorted(r["id"] for r in unpacked_tombstones(packed_tombstones(rows)).collect()) == gone
+
+
+def test_scan_is_bounded(spark, monkeypatch):
+    """No matrix product is larger than a tile, whatever the number of queries and rows; ties and scales change nothing."""
+    from nearfield.operators import search
+
+    x = np.random.default_rng(5).normal(size=(5000, 8)).round(1) * 1e3
+    x[4000:4400] = x[7]
+    seen, plain = [], search.block_scores
+    monkeypatch.setattr(search, "block_scores", lambda a, b, metric="ip": seen.append((len(a), len(b))) or plain(a, b, metric))
+    for metric in ("ip", "l2"):
+        q = search.QueryBlock(np.arange(1500), x[:1500])
+        top = search.TopK(1500, 10)
+        search.keep(q, np.arange(1500), np.arange(5000), x, np.arange(5000), top, metric)
+        for i in (0, 7, 611, 1499):
+            s = search.sequential_score(np.broadcast_to(x[i], x.shape), x, metric)
+            best = np.lexsort((np.arange(5000), -s))[:10]
+            assert top.ids[i].tolist() == best.tolist() and top.scores[i].tolist() == s[best].tolist()
+    assert max(a * b for a, b in seen) <= search.TILE_QUERIES * search.TILE_ROWS
+
+
+@pytest.mark.parametrize("kind", [PqIndex, IvfPqIndex])
+def test_pq_candidates_are_bounded(spark, data, kind, monkeypatch):
+    """Rescoring holds k rows of a query and no list of candidates; segments only add candidates, and their layout changes nothing."""
+    from nearfield.operators import pq, search
+
+    q, c = data
+    more, wide = ({"nlist": 4}, {"nprobe": 4}) if kind is IvfPqIndex else ({}, {})
+    index = kind.build(c, m=8, iters=3, **more)
+    asked = []
+    monkeypatch.setattr(pq, "scan", lambda rows, columns, block, k, *a: asked.append(k) or search.scan(rows, columns, block, k, *a))
+    want, one = brute(data), recall(ids(index.search(q, rerank=40, **wide)), brute(data))
+    assert ids(index.search(q, rerank=c.count(), **wide)) == want and set(asked) == {10}
+    monkeypatch.setattr(pq, "SEGMENT_ROWS", 100)
+    found = ids(index.search(q, rerank=40, **wide))
+    assert recall(found, want) >= one and recall(found, want) > 0.9
+    index.codes = index.codes.repartition(7)
+    assert ids(index.search(q, rerank=40, **wide)) == found
+    plain = index.search(q, **wide).collect()  # by codes alone
+    assert len(plain) == 10 * q.count() and recall(ids(index.search(q, **wide)), want) > 0.3
