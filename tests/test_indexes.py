@@ -240,3 +240,49 @@ def test_pq_candidates_are_bounded(spark, data, kind, monkeypatch):
     assert ids(index.search(q, rerank=40, **wide)) == found
     plain = index.search(q, **wide).collect()  # by codes alone
     assert len(plain) == 10 * q.count() and recall(ids(index.search(q, **wide)), want) > 0.3
+
+
+def test_graph_shards_are_bounded(spark, data, monkeypatch):
+    """Shards have a bounded number of rows, a search gives k rows a query and task, and a wide one is exact in each."""
+    from nearfield.operators import graph
+
+    q, c = data
+    monkeypatch.setattr(graph, "SHARD_ROWS", 50)
+    monkeypatch.setattr(graph, "tasks", lambda rows: 3)
+    n, want = c.count(), brute(data)
+    half = brute(data, lambda r: r["views"] >= 5000)
+    index = HnswIndex.build(c, m=8, ef_construct=40)
+    assert index.nodes.select("shard").distinct().count() == 9
+    assert recall(ids(index.search(q, ef=20)), want) > 0.95 and ids(index.search(q, ef=n)) == want
+    assert ids(index.search(q, where=F.col("views") >= 5000, ef=n)) == half
+    assert index._walks(q, 10, None, 20).count() <= 3 * 11 * q.count()
+    assert {r["n"] >= n for r in index.distance_computations(q, ef=n).collect()} == {True}
+    disk = DiskAnnIndex.build(c, r=16, l_build=40, pq_m=8)
+    assert ids(disk.search(q, l=n, rerank=n)) == want and recall(ids(disk.search(q, l=n, rerank=20)), want) > 0.9
+    assert {r["disk_reads"] for r in disk.disk_reads(q, l=n).collect()} == {n}
+    assert {r["disk_reads"] >= 9 * 10 for r in disk.disk_reads(q, l=10).collect()} == {True}
+
+
+def test_all_nodes_are_tied_in():
+    """Tight clusters far apart, which neighbour lists alone do not connect."""
+    from nearfield.operators.graph import tie_in
+
+    x = np.random.default_rng(3).normal(size=(400, 16)) * 1e-3 + np.repeat(np.random.default_rng(4).normal(size=(4, 16)), 100, axis=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, start = build_vamana(x, 8, 20, 1.2, 42)
+    assert len(reached(links.__getitem__, start)) == 400 and max(map(len, links)) <= 8
+    near = [[int(u) for u in np.argsort(-(x @ x[v]))[1:5]] for v in range(400)]
+    tie_in(x, near, 0, 4, range(400))
+    assert len(reached(near.__getitem__, 0)) == 400 and max(map(len, near)) <= 4
+    g = build(x, 4, 20, 42)
+    assert len(reached(g.at(0), g.entry)) == 400
+
+
+def test_repair_walks_once_a_pass(monkeypatch):
+    """A graph is walked once in each pass of its repair, not once for each node."""
+    from nearfield.operators import hnsw
+
+    calls, plain = [], hnsw.reached
+    monkeypatch.setattr(hnsw, "reached", lambda *a: calls.append(1) or plain(*a))
+    build(np.random.default_rng(1).normal(size=(200, 8)), 4, 20, 42)
+    assert len(calls) <= hnsw.REPAIR_PASSES
