@@ -32,3 +32,12 @@ def test_text(spark):
 
     row = spark.createDataFrame([("  Hello \n\t World ",)], "t string").select(normalized(F.col("t")).alias("n"), cache_key(F.col("t"), "m", "v1").alias("k")).first()
     assert row["n"] == "hello world" and row["k"] == hashlib.sha256(b"hello world|m|v1").hexdigest()
+
+
+def test_rounded_keeps_signs(spark):
+    from nearfield.functions.vectors import rounded
+
+    given = [-1e-7, -0.0, 0.0, 1e-7, -0.0000015, 0.0000015, 0.1234565, -7.0, None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double")
+    got = [r["y"] for r in rows.select("i", rounded("x", 6).alias("y")).orderBy("i").collect()]
+    assert str(got) == "[-0.0, -0.0, 0.0, 0.0, -2e-06, 2e-06, 0.123457, -7.0, None]"
