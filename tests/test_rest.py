@@ -183,3 +183,17 @@ def test_report_frames(spark):
     times = spark.createDataFrame([(True, 1.0), (True, 3.0), (False, 9.0)], "hit boolean, ms double")
     assert metrics.cache_times(times).first()["p50_hit_ms"] == 2.0
     assert metrics.median_by(rows, ["case"], "stage", ["p50"]).count() == 2
+
+
+def test_lists_are_trained_on_all_rows(spark, tmp_path, monkeypatch):
+    """Centres are those of every row, also where there are more than an index trains on by default."""
+    from nearfield.operators import kmeans
+
+    x = np.random.default_rng(6).normal(size=(500, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(kmeans, "ROWS_A_CENTER", 2)
+    got = {(r["list_id"], r["dim"]): r["value"] for r in QUERIES["kmeans_centers"](spark, str(tmp_path)).collect()}
+    want = kmeans.local(x[np.arange(500) % 10 != 0], 16)
+    assert np.allclose([[got[i, j] for j in range(64)] for i in range(16)], want, atol=1e-5)
