@@ -32,13 +32,18 @@ class Lru:
         return hit
 
 
-def lru_hits(requests: DataFrame, capacity: int, chunk: int = 1 << 20) -> DataFrame:
+#: Ids of one chunk, which a task serves at a time and holds as Python strings.
+CHUNK = 1 << 17
+
+
+def lru_hits(requests: DataFrame, capacity: int, chunk: int | None = None) -> DataFrame:
     """request_id, key and hit of each request (request_id, key), served in request order by one cache.
 
     Requests are served in chunks of ids side by side. Each chunk starts with what the cache then holds: the
     ``capacity`` keys used last before it. These come from a prefix scan over the chunks' own last uses, in
     log2(chunks) rounds of merging the lists of a chunk and of the one a power of two before it.
     """
+    chunk = chunk or CHUNK
     rows = requests.select(F.col("request_id").cast("long").alias("request_id"), F.col("key").cast("string").alias("key"))
     rows = rows.withColumn("chunk", F.floor(F.col("request_id") / chunk).cast("long"))
     low, high = rows.agg(F.min("chunk"), F.max("chunk")).first()

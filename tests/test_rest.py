@@ -197,3 +197,14 @@ def test_lists_are_trained_on_all_rows(spark, tmp_path, monkeypatch):
     got = {(r["list_id"], r["dim"]): r["value"] for r in QUERIES["kmeans_centers"](spark, str(tmp_path)).collect()}
     want = kmeans.local(x[np.arange(500) % 10 != 0], 16)
     assert np.allclose([[got[i, j] for j in range(64)] for i in range(16)], want, atol=1e-5)
+
+
+def test_lru_serves_bounded_chunks(spark, monkeypatch):
+    """Without a chunk given, no task holds more requests than the module's bound."""
+    keys, kept = [str(x) for x in np.random.default_rng(7).zipf(1.5, 300) % 40], []
+    requests = spark.createDataFrame(list(enumerate(keys)), "request_id long, key string")
+    plain = cache.written
+    monkeypatch.setattr(cache, "written", lambda df, paths: kept.append(df.select("chunk").distinct().count()) or plain(df, paths))
+    monkeypatch.setattr(cache, "CHUNK", 50)
+    assert [r["hit"] for r in cache.lru_hits(requests, 10).orderBy("request_id").collect()] == plain_lru(keys, 10)
+    assert kept and max(kept) >= 6
